@@ -44,12 +44,38 @@ def code_number(c: Column) -> Column:
     return num_to_text(half_up(c.cast("double"), 2))
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ",".join(_sql_literal(x) for x in v) + ")"
+    return str(v)
+
+
+def str_array(values) -> Column:
+    """Literal array, parsed in one step instead of one driver round trip per element."""
+    return F.expr(_sql_literal(list(values)))
+
+
 def str_map(pairs: dict) -> Column:
     """Literal map; the domain vocabularies are a few dozen entries."""
-    flat = []
-    for k, v in pairs.items():
-        flat += [F.lit(k), F.lit(v)]
-    return F.create_map(*flat)
+    return F.expr("map(" + ",".join(f"{_sql_literal(k)},{_sql_literal(v)}" for k, v in pairs.items()) + ")")
+
+
+_BUILT: dict = {}
+
+
+def built_once(key, make: Callable[[], Column]) -> Column:
+    """Reuse a large expression over named columns; building one costs thousands of driver-to-JVM calls."""
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    key = (id(session.sparkContext._jvm) if session else None, key)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
 
 
 def lookup(pairs: dict, key: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import masters
 from ..masters import DictionaryEntry
-from .expr import let, lookup, matched, num_to_text, str_map
+from .expr import let, lookup, matched, num_to_text, str_array, str_map
 
 # Character classes of the lexical clean-up.
 SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -125,7 +125,7 @@ def dedupe_words(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """T5 - whitespace tokens without edge punctuation and stop words."""
-    stop = F.array(*[F.lit(w) for w in masters.STOPWORDS])
+    stop = str_array(masters.STOPWORDS)
     return F.filter(
         F.transform(F.split(c, rf"{SPACE}+"), lambda w: F.regexp_replace(w, r"^[-/.]+|[-/.]+$", "")),
         lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w),
@@ -152,7 +152,7 @@ def normalize_cleaned(cleaned: Column, dictionary=None, category: str | None = N
 
 def semantic_tokens(c: Column) -> Column:
     """T8 - token bag for embeddings, without vendor names and procurement boiler-plate."""
-    drop = F.array(*[F.lit(w) for w in masters.SEMANTIC_NOISE + masters.KNOWN_MAKES])
+    drop = str_array(masters.SEMANTIC_NOISE + masters.KNOWN_MAKES)
     return F.filter(
         F.transform(F.split(c, rf"(?:{SPACE}|[-/,])+"), lambda w: F.regexp_replace(w, r'^[."#]+|[."#]+$', "")),
         lambda w: (F.length(w) > 0) & ~F.array_contains(drop, w),

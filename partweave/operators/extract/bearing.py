@@ -2,7 +2,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.expr import let, matched
+from ...functions.expr import let, matched, str_array, str_map
 from .rules import attribute_map, earliest_rule, make_attr, num_attr, text_attr
 
 # Boundary dimensions d, D, B (mm) per ISO designation.
@@ -56,7 +56,7 @@ def _designation(text: Column) -> Column:
     """Known designations are preferred over the first plausible one."""
     prefixes = F.regexp_extract_all(text, F.lit(DESIGNATION), F.lit(1))
     numbers = F.regexp_extract_all(text, F.lit(DESIGNATION), F.lit(2))
-    known = F.array(*[F.lit(d) for d in DIMENSIONS])
+    known = str_array(DIMENSIONS)
     plausible = F.filter(
         F.zip_with(prefixes, numbers,
                    lambda p, n: F.when(F.length(p) > 0, F.concat(p, n)).when(F.length(n) >= 4, n)),
@@ -66,8 +66,7 @@ def _designation(text: Column) -> Column:
 
 
 def extract_bearing(text: Column, manufacturer: Column) -> Column:
-    table = F.create_map(*[x for k, v in DIMENSIONS.items()
-                           for x in (F.lit(k), F.array(*[F.lit(float(n)) for n in v]))])
+    table = str_map({k: [float(n) for n in v] for k, v in DIMENSIONS.items()})
 
     def build(d: Column) -> Column:
         dims = F.try_element_at(table, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ...functions.expr import let, matched, num_to_text
+from ...functions.expr import let, matched, num_to_text, str_array
 from ...masters import KNOWN_MAKES
 
 ATTR_TYPE = "struct<value_text:string,value_num:double,confidence:double,source:string,raw:string>"
@@ -73,7 +73,7 @@ def prefixed_standard(text: Column, pattern: str, bodies: list[tuple[str, int]],
 def make_attr(text: Column, field: Column) -> Column:
     """E0d - the source field if given, otherwise the first known make (in list order) named in the text."""
     pattern = "(?<![A-Z0-9])(" + "|".join(KNOWN_MAKES) + ")(?![A-Z0-9])"
-    known = F.array(*[F.lit(m) for m in KNOWN_MAKES])
+    known = str_array(KNOWN_MAKES)
     given = F.nullif(F.upper(F.trim(field)), F.lit(""))
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
                 lambda hits: F.get(F.filter(known, lambda m: F.array_contains(hits, m)), F.lit(0)))

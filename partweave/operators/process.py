@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import masters
-from ..functions.expr import blank_to_null, compact, let
+from ..functions.expr import blank_to_null, built_once, compact
 from ..functions.text import clean_text, normalize_cleaned, semantic_tokens
 from ..functions.uom import normalize_uom
 from .classify import classify
@@ -26,6 +26,8 @@ def process_records(raw: DataFrame, dictionary=None, schemas=None, uom_master=No
     schemas = schemas or masters.SCHEMAS
     uom_master = uom_master or masters.UOM_MASTER
     text = F.concat_ws(" ", blank_to_null(F.col("description")), blank_to_null(F.col("long_text")))
+    key = (tuple(dictionary), tuple(schemas.values()), repr(uom_master))
+    once = lambda name, make: built_once((key, name), make)
     scoped = sorted({d.category for d in dictionary if d.category})
 
     def renormalised() -> Column:
@@ -34,7 +36,7 @@ def process_records(raw: DataFrame, dictionary=None, schemas=None, uom_master=No
             out = out.when(F.col("category") == category, normalize_cleaned(F.col("_cleaned"), dictionary, category))
         return out.otherwise(F.col("_generic"))
 
-    missing = F.col("missing_required")
+    category, attributes, missing = F.col("category"), F.col("attributes"), F.col("missing_required")
     has = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
     flags = F.concat(
         F.col("_uom.flags"),
@@ -52,27 +54,28 @@ def process_records(raw: DataFrame, dictionary=None, schemas=None, uom_master=No
     )
     return (
         raw.withColumn("_cleaned", clean_text(text))
-        .withColumn("_generic", normalize_cleaned(F.col("_cleaned"), dictionary))
-        .withColumn("_class", classify(F.col("_generic.normalized")))
-        .withColumn("category", F.col("_class.category"))
-        .withColumn("category_confidence", F.col("_class.confidence"))
-        .withColumn("classifier_reasons", F.col("_class.reasons"))
-        .withColumn("_norm", renormalised())
+        .withColumn("_generic", once("generic", lambda: normalize_cleaned(F.col("_cleaned"), dictionary)))
+        .withColumn("_class", once("class", lambda: classify(F.col("_generic.normalized"))))
+        .withColumns({"category": F.col("_class.category"), "category_confidence": F.col("_class.confidence"),
+                      "classifier_reasons": F.col("_class.reasons")})
+        .withColumn("_norm", once("norm", renormalised))
         .withColumns({n: F.col(f"_norm.{n}") for n in ("cleaned", "normalized", "tokens", "expansions")})
-        .withColumn("attributes", extract_attributes(
-            F.col("category"), F.upper(F.concat(F.col("normalized"), F.lit(" ; "), F.col("cleaned"))),
-            F.col("manufacturer")))
-        .withColumn("missing_required", missing_required(F.col("category"), F.col("attributes"), schemas))
-        .withColumn("completeness", completeness(F.col("category"), F.col("attributes"), schemas))
-        .withColumn("fingerprint", fingerprint(F.col("category"), F.col("attributes"), schemas))
-        .withColumn("block_key", blocking_key(F.col("category"), F.col("attributes"), schemas))
-        .withColumn("_uom", normalize_uom(F.col("uom"), expected_dimension(F.col("category"), schemas), uom_master))
+        .withColumn("_text", F.upper(F.concat(F.col("normalized"), F.lit(" ; "), F.col("cleaned"))))
+        .withColumn("attributes", once("attributes", lambda: extract_attributes(
+            F.col("category"), F.col("_text"), F.col("manufacturer"))))
+        .withColumns({
+            "missing_required": once("missing", lambda: missing_required(category, attributes, schemas)),
+            "completeness": once("completeness", lambda: completeness(category, attributes, schemas)),
+            "fingerprint": once("fingerprint", lambda: fingerprint(category, attributes, schemas)),
+            "block_key": once("block", lambda: blocking_key(category, attributes, schemas)),
+            "_uom": once("uom", lambda: normalize_uom(F.col("uom"), expected_dimension(category, schemas), uom_master)),
+        })
         .withColumns({
             "uom_original": F.col("_uom.original"), "base_uom": F.col("_uom.code"),
             "uom_dimension": F.col("_uom.dimension"), "uom_factor": F.col("_uom.factor"),
         })
         .withColumn("flags", flags)
-        .drop("_cleaned", "_generic", "_class", "_norm", "_uom")
+        .drop("_cleaned", "_generic", "_class", "_norm", "_uom", "_text")
     )
 
 
