@@ -29,7 +29,7 @@ def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def knn_join(df: DataFrame, id_col: str, group_col: str, vec_col: str, k: int, pivots: int = 32,
-             tile: int = 2000) -> DataFrame:
+             tile: int = 2000, per_pivot: int = 2048) -> DataFrame:
     """(id, neighbor_id, group, cosine, rank <= k); ties by neighbour id.  Zero vectors have no direction and are left
     out; give distinct vectors (see ``candidates.variants``) when many copies exist."""
     spark = df.sparkSession
@@ -45,7 +45,7 @@ def knn_join(df: DataFrame, id_col: str, group_col: str, vec_col: str, k: int, p
     if not groups:
         return spark.createDataFrame(
             [], f"id {id_type}, neighbor_id {id_type}, grp {grp_type}, cosine double, rank int")
-    wanted = max(1, min(pivots, total // max(1, groups) // 2048, MAX_CELLS // groups))
+    wanted = max(1, min(pivots, total // max(1, groups) // per_pivot, MAX_CELLS // groups))
     sample = base.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(wanted).collect()
     pivot = np.array([r["vec"] for r in sample])
     pivot = pivot / np.sqrt((pivot * pivot).sum(axis=1))[:, None]
