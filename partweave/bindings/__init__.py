@@ -1,0 +1,8 @@
+"""Queries over the driver's tables, one per operator, with equivalent SQL for the oracle."""
+
+
+def registry():
+    from . import analytics, governance, matching, text  # noqa: F401  (registration on import)
+    from .base import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)
