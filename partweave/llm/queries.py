@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .common import documents_of
+from .bpe import encode_documents
+from .packing import pack_documents
 from .quality import quality_verdicts
 from .secrets import PATTERNS, secret_spans, span_text
 from .url_lists import capture_keys, host_of, path_of, url_verdicts
@@ -56,6 +58,24 @@ def op9_url_filters(spark, sf_dir: str) -> DataFrame:
     return url_verdicts(captures, url_list_events(pages), {"abuse": "block", "reviewed": "allow"})
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir: str) -> DataFrame:
+    return pack_documents(documents_of(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+def op10_bpe(spark, sf_dir: str) -> DataFrame:
+    docs = documents_of(spark, sf_dir).select("doc_id", "text")
+    coded = encode_documents(docs, tokenizer_file("byte_bpe_50k.json"), decoded="decoded")
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def registry():
-    queries = {f.__name__: f for f in (op5_quality_rules, op6_secret_scan, op9_url_filters)}
+    queries = {f.__name__: f for f in (op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
