@@ -9,6 +9,7 @@ from .common import documents_of
 from .bpe import encode_documents
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .suffix_dedup import dedup_substrings
 from .secrets import PATTERNS, secret_spans, span_text
 from .url_lists import capture_keys, host_of, path_of, url_verdicts
 
@@ -64,6 +65,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents_of(spark, sf_dir), width=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(documents_of(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
 
@@ -77,5 +83,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def registry():
-    queries = {f.__name__: f for f in (op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
