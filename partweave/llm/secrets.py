@@ -88,7 +88,7 @@ def randomness(tokens: DataFrame, value="value") -> DataFrame:
     alphabet = F.lit(None).cast("string")
     for name, _, letters in ENCODINGS:
         alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
-    plain = F.rtrim(F.lit("="), F.col(value))
+    plain = F.rtrim(F.col(value), F.lit("="))
     plain = F.when(F.col("encoding") == "hex", F.lower(plain)).otherwise(F.translate(plain, "-_", "+/"))
     length, size = F.col("_n").cast("double"), F.col("_a").cast("double")
     # sum of squared symbol counts
