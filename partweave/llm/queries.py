@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import documents_of
 from .bpe import encode_documents
+from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_verdicts
 from .suffix_dedup import dedup_substrings
@@ -70,6 +71,10 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_minhash(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents_of(spark, sf_dir), k=2, percent=80, miss=1e-6)
+
+
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(documents_of(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
 
@@ -83,5 +88,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def registry():
-    queries = {f.__name__: f for f in (op1_suffix_dedup, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
