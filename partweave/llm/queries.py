@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .common import documents_of
 from .bpe import encode_documents
+from .embed_dups import near_duplicate_vectors
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_verdicts
@@ -29,6 +30,10 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
         span_text(F.array_sort(F.concat("base", "extra"))).alias("spans"))
 
 
+def op8_embedding_dups(spark, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 def url_list_events(pages: DataFrame) -> DataFrame:
     """Dated entries drawn from the crawl's own hosts and paths: a digest of the key picks keys and dates, and hosts
     with a known bad label are listed from 2024-02-01."""
@@ -88,5 +93,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def registry():
-    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op9_url_filters)}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op8_embedding_dups, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
