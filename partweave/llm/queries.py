@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, pii
 from .common import documents_of
 from .bpe import encode_documents
 from .embed_dups import near_duplicate_vectors
@@ -30,6 +30,15 @@ def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
         span_text(F.array_sort(F.concat("base", "extra"))).alias("spans"))
 
 
+def op7_pii(spark, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(documents_of(spark, sf_dir))
+    by_kind = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"], s["start"], s["end"], s["kind"])))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text(by_kind(F.col("base"))), 256).alias("base_sha256"),
+        pii.span_text(by_kind(F.concat("base", "extra"))).alias("spans"))
+
+
 def op8_embedding_dups(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
@@ -93,5 +102,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def registry():
-    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op8_embedding_dups, op9_url_filters)}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
