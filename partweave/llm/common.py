@@ -19,11 +19,15 @@ def let(value: Column, body) -> Column:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back: cuts the lineage, so a lost
-    executor never replays what lies before, and gives the optimiser a column-pruned source with known size."""
+    executor never replays what lies before, and gives the optimiser a column-pruned source with known size.
+
+    The shuffle files behind it are of no more use; Spark deletes them once the driver's heap has dropped their
+    owners, so one collection is asked for: disk then holds the largest step instead of all of them."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

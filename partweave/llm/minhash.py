@@ -1,9 +1,10 @@
 """Near-duplicate documents: MinHash bands propose pairs, a sequential Bayesian test prunes them, full sets decide.
 
 A document is its set of distinct ``k``-word shingles.  Equal sets are one class before anything is compared.  Bands of
-signature rows put classes into buckets; a bucket never emits its pairs.  It compares its members with a centre, and
-what the first centre leaves apart meets more centres, eight times as many each round, until the bucket is one
-component or every member has been a centre: no pair of a bucket is left out, but most are settled by transitivity.
+signature rows put classes into buckets; a bucket never emits its pairs.  Its members meet its centre, the member that
+shares most bucket places, which in a group of copies is the original.  Members that this leaves outside the centre's
+component then meet the members of other components, unless their distances to the centre rule a link out (Jaccard
+distance is a metric).  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
 
 Verification compares 16 signature values at a time and drops a pair as soon as the posterior probability that its
 similarity reaches the threshold (uniform prior) falls under ``miss``; survivors are confirmed on their full sets.
@@ -29,7 +30,6 @@ from .fingerprints import Prefixes, byte_chunks, mixed
 from .suffix_dedup import packed_texts, _unpacked
 
 BANDS, ROWS, SIGNATURE, BATCH = 48, 6, 128, 16
-GROWTH = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -143,79 +143,72 @@ def prune(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, packed_a, packed_b) whose full sets are similar enough."""
+def overlaps(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, both, either) of the pairs (a, b, packed_a, packed_b): sizes of intersection and union of full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
-                linked = []
+                found = []
                 for a, b in zip(part.column(2), part.column(3)):
                     texts = [_unpacked(a.as_py()), _unpacked(b.as_py())]
                     data = np.frombuffer(b"".join(texts), np.uint8)
                     row, shingle = shingle_sets(data, np.array([0, len(texts[0]), len(data)]), k)
                     n = int((row == 0).sum())
                     both = len(np.intersect1d(shingle[:n], shingle[n:], assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(shingle) - both))
-                yield part.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+                    found.append((both, len(shingle) - both))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[
+                    pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], names=["a", "b", "both", "either"])
 
-    return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(doc_id, label) after the links (a, b): components of the labels so far, then carried to the members."""
-    if labels is None:
-        return materialise(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label")))
-    name = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"{c}_label"))
-    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
-        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-    moved = materialise(connected_components(ends).select(F.col("node").alias("label"), F.col("component").alias("to")))
-    known = labels.join(moved, "label", "left").select("doc_id", F.coalesce("to", "label").alias("label"))
-    fresh = moved.join(labels, F.col("doc_id") == moved["label"], "left_anti").select(
-        moved["label"].alias("doc_id"), F.col("to").alias("label"))
-    return materialise(known.unionAll(fresh))
-
-
-def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame | None:
-    """(doc_id, label) of the classes (doc_id, n_shingles, bands, signature) that have a link."""
+def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """(a, b) links that join every component of the classes (doc_id, n_shingles, bands, signature)."""
     every = classes.select(F.explode("bands").alias("key"), "doc_id")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    buckets = materialise(every.join(shared, "key", "left_semi"))
-    members = buckets.select("doc_id").distinct()
-    facts = materialise(classes.select("doc_id", "n_shingles", "signature").join(members, "doc_id", "left_semi"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = materialise(every.join(shared, "key"))
+    popular = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    facts = materialise(classes.select("doc_id", "n_shingles", "signature").join(popular, "doc_id"))
     texts = materialise(packed_texts(docs).join(facts.select("doc_id"), "doc_id", "left_semi"))
-    labels, tested, salts = None, None, 1
-    while True:
-        own = buckets.withColumn("label", F.col("doc_id")) if labels is None else buckets.join(
-            labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
-        centres = own.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("doc_id", "label")).alias("c")).select(
-            "key", F.col("c.doc_id").alias("centre"), F.col("c.label").alias("centre_label"))
-        pairs = own.join(centres, "key").filter("label <> centre_label").select(
-            F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+    body = lambda c: texts.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}"))
+    exact = lambda pairs: overlaps(pairs.join(body("a"), "a").join(body("b"), "b"), k)
+    linked = f"both > 0 and 100 * both >= {percent} * either"
+
+    def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: facts.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}"))
-        body = lambda c: texts.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(
             F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        links = materialise(confirm(prune(sized, percent, miss).join(body("a"), "a").join(body("b"), "b"), k, percent))
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-        tested = pairs if tested is None else materialise(tested.unionAll(pairs))
-        # A bucket stays if it holds two components and two members that were never a centre.
-        own = buckets if labels is None else buckets.join(labels, "doc_id", "left")
-        label = F.col("doc_id") if labels is None else F.coalesce("label", "doc_id")
-        apart = own.withColumn("_l", label).withColumn("_s", salt).groupBy("key", "_s").agg(
-            F.count(F.lit(1)).alias("n"), F.min("_l").alias("lo"), F.max("_l").alias("hi")).groupBy("key").agg(
-            F.sum(F.col("n") - 1).alias("left"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(
-            "lo < hi and left > 1").select("key")
-        buckets = materialise(buckets.join(apart, "key", "left_semi"))
-        if buckets.isEmpty():
-            return labels
-        salts *= GROWTH
+        return materialise(exact(prune(sized, percent, miss)))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # Every member against the centre of its bucket: the one that shares the most bucket places overall.
+    centres = buckets.join(facts.select("doc_id", "weight"), "doc_id").groupBy("key").agg(
+        F.max(F.struct("weight", -F.col("doc_id"), "doc_id"))["doc_id"].alias("centre"))
+    starred = materialise(buckets.join(centres, "key").select("key", "doc_id", "centre"))
+    first = verified(starred.filter("doc_id <> centre").select(*pair("doc_id", "centre")).distinct())
+    links = first.filter(linked).select("a", "b")
+    labels = materialise(connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("label")))
+    placed = starred.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    apart = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                      F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("label"))).alias("home"))
+    # Two members have met already; of the rest, a pair in different components has one end away from the centre's.
+    rows = materialise(placed.filter("doc_id <> centre").join(
+        apart.filter("lo < hi and n > 2").select("key", "home"), "key"))
+    stars = rows.select(*pair("doc_id", "centre")).distinct()
+    known = first.select("a", "b", "both", "either")
+    rest = materialise(exact(stars.join(known, ["a", "b"], "left_anti")))
+    far = known.unionAll(rest).select("a", "b", (1 - F.col("both") / F.greatest("either", F.lit(1))).alias("far"))
+    spread = materialise(rows.withColumns(dict(zip("ab", pair("doc_id", "centre")))).join(far, ["a", "b"]).select(
+        "key", "doc_id", "label", "far", (F.col("label") != F.col("home")).alias("away")))
+    # Jaccard distance is a metric: a pair whose distances to the centre differ by more than the limit cannot link.
+    reach = 1 - percent / 100 + 1e-9
+    x, y = spread.filter("away").alias("x"), spread.alias("y")
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+                    & (~F.col("y.away") | (F.col("x.doc_id") < F.col("y.doc_id")))
+                    & (F.abs(F.col("x.far") - F.col("y.far")) <= reach)).select(*pair("x.doc_id", "y.doc_id")).distinct()
+    return links.unionAll(verified(second).filter(linked).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id", text="text") -> DataFrame:
@@ -224,14 +217,11 @@ def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id"
     signed = materialise(signatures(docs, k))
     sets = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     classes = signed.join(sets.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    labels = link_classes(classes, docs, k, percent, miss)
+    labels = connected_components(link_classes(classes, docs, k, percent, miss)).select(
+        F.col("node").alias("class_id"), F.col("component").alias("label"))
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    if labels is None:
-        out = member.withColumn("component_id", F.col("class_id"))
-    else:
-        out = member.join(labels.select(F.col("doc_id").alias("class_id"), "label"), "class_id", "left").withColumn(
-            "component_id", F.coalesce("label", "class_id"))
+    out = member.join(labels, "class_id", "left").withColumn("component_id", F.coalesce("label", "class_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
