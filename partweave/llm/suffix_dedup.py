@@ -8,8 +8,10 @@ have equal anchors at equal offsets.  Strings that follow one another with the s
 1. Initial buckets: runs by the ``q``-gram at their anchor.  Buckets with one entry are final and leave.
 2. Refinement: what is left is split by the bucket identifiers of the later (and earlier) offsets that the run's
    strings reach, all at once as one identifier of the run's extent.  A bucket with two entries repeats whole.
-3. Recursion: in buckets that still hold different runs, one run of each kind is opened into its starts, and each
-   start is refined by its pair of ``q``-gram identifiers, at the start and ``q`` bytes on.
+3. Recursion: in buckets that still hold different runs, one run of each kind is cut into blocks of starts at fixed
+   distances from the anchor.  A block is refined by the identifier of the bytes that its strings have in common;
+   blocks alone in their bucket are final, and what is left is refined by the identifier of each whole string, made
+   of the ``q``-gram identifiers at its start and ``q`` bytes on.
 
 Identifiers are 64-bit fingerprints compared only inside one anchor bucket.  Buckets are counted with partial
 aggregation and met again by joins, so no bucket is gathered in a task, and a group of k equal runs is one run
@@ -34,11 +36,14 @@ from .common import materialise
 from .fingerprints import Prefixes, byte_chunks, mixed, sliding_min
 
 CHUNK = 1 << 20
+STEP = 16
 _INDEX = np.uint64((1 << 24) - 1)
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, width: int, q: int):
-    """Runs of the documents in ``data``: row, start in the document, number of starts, anchor and extent ids."""
+    """Runs of the documents in ``data``: row, start in the document, shape, anchor and extent ids.
+
+    The shape is 1024 times the anchor's distance from the start, plus the number of starts."""
     out = []
     if len(offsets) == 2 and len(data) > CHUNK:  # one long document: pieces that overlap by a string
         for at in range(0, max(1, len(data) - width + 1), CHUNK):
@@ -69,23 +74,23 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int, q: int):
     extent = mixed(prefixes.of(begin, begin + count + (width - 1)) + mixed(
         ((anchor - begin) * 1024 + count).astype(np.uint64)))
     row = np.searchsorted(offsets, begin, "right") - 1
-    return row, begin - offsets[row], count, grams[anchor], extent
+    return row, begin - offsets[row], (anchor - begin) * 1024 + count, grams[anchor], extent
 
 
 def text_runs(docs: DataFrame, width: int, q: int) -> DataFrame:
-    """(anchor, extent, doc_id, start, n) of ``docs`` (doc_id, text)."""
+    """(anchor, extent, doc_id, start, shape) of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, end, data, offsets in byte_chunks(batch.column(1), CHUNK):
-                row, start, count, anchor, extent = runs_of(data, offsets, width, q)
+                row, start, shape, anchor, extent = runs_of(data, offsets, width, q)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(anchor.view(np.int64)), pa.array(extent.view(np.int64)), pa.array(ids[begin:end][row], pa.int64()),
-                    pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["anchor", "extent", "doc_id", "start", "n"])
+                    pa.array(start.astype(np.int32)), pa.array(shape.astype(np.int32))],
+                    names=["anchor", "extent", "doc_id", "start", "shape"])
 
-    return docs.mapInArrow(run, "anchor long, extent long, doc_id long, start int, n int")
+    return docs.mapInArrow(run, "anchor long, extent long, doc_id long, start int, shape int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -113,29 +118,38 @@ def open_buckets(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1")
 
 
-def opened_starts(runs: DataFrame, texts: DataFrame, width: int, q: int) -> DataFrame:
-    """(anchor, first, later, doc_id, start, single): every start of the runs, with its pair of identifiers."""
-    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "single")).alias("runs"))
+def opened_blocks(runs: DataFrame, texts: DataFrame, width: int, q: int) -> DataFrame:
+    """Blocks of ``STEP`` starts of the runs (anchor, doc_id, start, shape, single).
+
+    Columns: anchor, block (distance of the anchor in steps), core (identifier of the common bytes), doc_id, single,
+    start (of the first string) and strings (identifiers, one for each start)."""
+    per_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "shape", "single")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, packed, runs in zip(*[batch.column(i) for i in range(3)]):
-                data = np.frombuffer(_unpacked(packed.as_py()), np.uint8)
-                prefixes = Prefixes(data)
+                prefixes = Prefixes(np.frombuffer(_unpacked(packed.as_py()), np.uint8))
                 fields = [runs.values.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
                 for at in range(0, len(fields[0]), 4096):
-                    anchor, start, n, single = [f[at:at + 4096] for f in fields]
+                    anchor, start, shape, single = [f[at:at + 4096] for f in fields]
+                    n, place = shape % 1024, start.astype(np.int64) + shape // 1024
                     which = np.repeat(np.arange(len(n)), n)
                     p = start[which].astype(np.int64) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    block = (place[which] - p) // STEP
+                    strings = mixed(prefixes.of(p, p + q) + mixed(prefixes.of(p + q, p + width)))
+                    first = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(block) != 0)]))
+                    which, block = which[first], block[first]
+                    left = place[which] - STEP * block
+                    core = mixed(prefixes.of(left, left + width - STEP + 1))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(anchor[which]), pa.array(prefixes.of(p, p + q).view(np.int64)),
-                        pa.array(mixed(prefixes.of(p + q, p + width)).view(np.int64)),
-                        pa.array(np.full(len(p), key.as_py(), np.int64)), pa.array(p.astype(np.int32)),
-                        pa.array(single[which])], names=names)
+                        pa.array(anchor[which]), pa.array(block.astype(np.int32)), pa.array(core.view(np.int64)),
+                        pa.array(np.full(len(first), key.as_py(), np.int64)), pa.array(single[which]),
+                        pa.array(p[first].astype(np.int32)), pa.ListArray.from_arrays(
+                            np.concatenate([first, [len(p)]]).astype(np.int32), strings.view(np.int64))], names=names)
 
-    names = ["anchor", "first", "later", "doc_id", "start", "single"]
+    names = ["anchor", "block", "core", "doc_id", "single", "start", "strings"]
     return texts.join(per_doc, "doc_id").select("doc_id", "packed", "runs").mapInArrow(
-        run, "anchor long, first long, later long, doc_id long, start int, single boolean")
+        run, "anchor long, block int, core long, doc_id long, single boolean, start int, strings array<long>")
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, width=200, q=100) -> DataFrame:
@@ -145,16 +159,20 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, width=200, q=100) -> DataF
     left = materialise(text_runs(docs, width, q).join(anchors.hint("shuffle_hash"), "anchor", "left_semi"))
     # 2: by the whole extent.
     kinds = left.groupBy("anchor", "extent").agg(
-        F.count(F.lit(1)).alias("entries"), F.min(F.struct("doc_id", "start", "n")).alias("one"))
+        F.count(F.lit(1)).alias("entries"), F.min(F.struct("doc_id", "start", "shape")).alias("one"))
     whole = left.join(kinds.filter("entries > 1").select("anchor", "extent"), ["anchor", "extent"], "left_semi").select(
-        "doc_id", "start", (F.col("start") + F.col("n") + (width - 1)).alias("end"))
+        "doc_id", "start", (F.col("start") + F.col("shape") % 1024 + (width - 1)).alias("end"))
     # 3: one run of each kind where a bucket holds several kinds.
     several = open_buckets(kinds, "anchor").select("anchor")
-    mixed_runs = kinds.join(several, "anchor", "left_semi").select(
-        "anchor", "one.doc_id", "one.start", "one.n", (F.col("entries") == 1).alias("single"))
-    starts = materialise(opened_starts(mixed_runs, texts, width, q))
-    key = ["anchor", "first", "later"]
-    parts = starts.filter("single").join(open_buckets(starts, *key).select(*key), key, "left_semi").select(
+    differing = kinds.join(several, "anchor", "left_semi").select(
+        "anchor", "one.doc_id", "one.start", "one.shape", (F.col("entries") == 1).alias("single"))
+    blocks = materialise(opened_blocks(differing, texts, width, q))
+    key = ["anchor", "block", "core"]
+    alike = materialise(blocks.join(open_buckets(blocks, *key).select(*key), key, "left_semi"))
+    strings = alike.select("anchor", "doc_id", "single", "start", F.posexplode("strings").alias("i", "string")).select(
+        "anchor", "string", "doc_id", "single", (F.col("start") + F.col("i")).alias("start"))
+    key = ["anchor", "string"]
+    parts = strings.filter("single").join(open_buckets(strings, *key).select(*key), key, "left_semi").select(
         "doc_id", "start", (F.col("start") + width).alias("end"))
     return whole.unionAll(parts)
 
