@@ -8,6 +8,7 @@ from . import oracles, pii
 from .common import documents_of
 from .bpe import encode_documents
 from .embed_dups import near_duplicate_vectors
+from .licenses import header_lines, licence_scan
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_verdicts
@@ -22,6 +23,15 @@ def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
         "n_removed_words", "kept")
 
 
+def op4_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Documents lie at source/lang/doc_id.  The corpus has no files named LICENSE, so a text that is notices for the
+    most part (half of its characters or more) counts as the licence file of its directory."""
+    docs = documents_of(spark, sf_dir).withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    notices = F.array_join(header_lines(F.coalesce("text", F.lit(""))), "\n")
+    mostly = (F.length(notices) > 0) & (2 * F.length(notices) >= F.length("text"))
+    return licence_scan(docs, threshold=0.5, is_licence_file=mostly)
+
+
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = secret_spans(documents_of(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -102,5 +112,5 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def registry():
-    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters)}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op4_license_scan, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters)}
     return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
