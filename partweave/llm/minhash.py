@@ -3,8 +3,8 @@
 A document is its set of distinct ``k``-word shingles.  Equal sets are one class before anything is compared.  Bands of
 signature rows put classes into buckets; a bucket never emits its pairs.  Its members meet its centre, the member that
 shares most bucket places, which in a group of copies is the original.  Members that this leaves outside the centre's
-component then meet the members of other components, unless their distances to the centre rule a link out (Jaccard
-distance is a metric).  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
+component then meet the members of other components, block by block, unless their distances to the centre rule a link
+out.  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
 
 Verification compares 16 signature values at a time and drops a pair as soon as the posterior probability that its
 similarity reaches the threshold (uniform prior) falls under ``miss``; survivors are confirmed on their full sets.
@@ -30,6 +30,7 @@ from .fingerprints import Prefixes, byte_chunks, mixed
 from .suffix_dedup import packed_texts, _unpacked
 
 BANDS, ROWS, SIGNATURE, BATCH = 48, 6, 128, 16
+BLOCK = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -195,20 +196,79 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss
                                       F.max(F.when(F.col("doc_id") == F.col("centre"), F.col("label"))).alias("home"))
     # Two members have met already; of the rest, a pair in different components has one end away from the centre's.
     rows = materialise(placed.filter("doc_id <> centre").join(
-        apart.filter("lo < hi and n > 2").select("key", "home"), "key"))
+        apart.filter("lo < hi and n > 2").select("key", "home"), "key").select("centre", "doc_id", "label", "home").distinct())
     stars = rows.select(*pair("doc_id", "centre")).distinct()
     known = first.select("a", "b", "both", "either")
     rest = materialise(exact(stars.join(known, ["a", "b"], "left_anti")))
     far = known.unionAll(rest).select("a", "b", (1 - F.col("both") / F.greatest("either", F.lit(1))).alias("far"))
     spread = materialise(rows.withColumns(dict(zip("ab", pair("doc_id", "centre")))).join(far, ["a", "b"]).select(
-        "key", "doc_id", "label", "far", (F.col("label") != F.col("home")).alias("away")))
-    # Jaccard distance is a metric: a pair whose distances to the centre differ by more than the limit cannot link.
-    reach = 1 - percent / 100 + 1e-9
-    x, y = spread.filter("away").alias("x"), spread.alias("y")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                    & (~F.col("y.away") | (F.col("x.doc_id") < F.col("y.doc_id")))
-                    & (F.abs(F.col("x.far") - F.col("y.far")) <= reach)).select(*pair("x.doc_id", "y.doc_id")).distinct()
-    return links.unionAll(verified(second).filter(linked).select("a", "b"))
+        "centre", "doc_id", "label", "far", (F.col("label") != F.col("home")).alias("away")).groupBy(
+        "centre", "doc_id", "label", "far").agg(F.max("away").alias("away")))
+    sizes = spread.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = spread.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label",
+        "far", "away").join(facts.select("doc_id", "signature"), "doc_id").join(texts, "doc_id")
+    return links.unionAll(block_links(dealt, k, percent, miss))
+
+
+def block_links(dealt: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """(a, b) links between members of a centre that are apart: one task at a time holds two blocks of members.
+
+    Pairs are tried if their components differ, one end is away from the centre's, and their distances to the centre
+    differ by no more than a link can bridge (Jaccard distance is a metric); then by signature, then on full sets."""
+    needed, reach = least_matches(percent, miss), 1 - percent / 100 + 1e-9
+
+    def compare(i: int, j: int, rows: list) -> list[tuple[int, int]]:
+        mine, ids, label = [np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2)]
+        far, away = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        if not away.any():
+            return []
+        signature = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(-1, SIGNATURE)
+        sets, out = {}, []
+
+        def shingles(at: int) -> np.ndarray:
+            if at not in sets:
+                data = np.frombuffer(_unpacked(rows[at][6]), np.uint8)
+                sets[at] = shingle_sets(data, np.array([0, len(data)]), k)[1]
+            return sets[at]
+
+        for x in np.flatnonzero(away).tolist():
+            y = np.flatnonzero((label != label[x]) & (~away | (ids > ids[x])) & (np.abs(far - far[x]) <= reach)
+                               & ((mine != mine[x]) if i != j else True))
+            matches = np.zeros(len(y), np.int64)
+            for step, least in enumerate(needed):
+                at = slice(step * BATCH, (step + 1) * BATCH)
+                matches += (signature[y, at] == signature[x, at]).sum(1)
+                y, matches = y[matches >= least], matches[matches >= least]
+            for other in y.tolist():
+                one, two = shingles(x), shingles(other)
+                if min(len(one), len(two)) * 100 >= max(len(one), len(two)) * percent:
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if both and 100 * both >= percent * (len(one) + len(two) - both):
+                        out.append((int(ids[x]), int(ids[other])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def done():
+            found = compare(group[1], group[2], rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in range(10)]):
+                if row[:3] != group:
+                    if rows:
+                        yield done()
+                    group, rows = row[:3], []
+                rows.append(row[3:])
+        if rows:
+            yield done()
+
+    key = ["centre", "i", "j"]
+    return dealt.select(*key, "mine", "doc_id", "label", "far", "away", "signature", "packed").repartition(
+        *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id", text="text") -> DataFrame:

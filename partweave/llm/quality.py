@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, let, materialise
 
 #: Fixed values of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -123,7 +123,8 @@ def quality_filter(docs: DataFrame, doc_id="doc_id", text="text", host="source",
     """The documents that are kept, with their own columns, and without the boilerplate lines in their text.
 
     A text without such lines stays as it is, byte for byte."""
-    verdicts = quality_verdicts(docs, doc_id, text, host, min_docs, max_share, min_left)
+    # Written first: the optimiser would push the filter into the rules and evaluate them again inside it.
+    verdicts = materialise(quality_verdicts(docs, doc_id, text, host, min_docs, max_share, min_left))
     kept = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("removed_lines").alias("_gone"))
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda l: ~F.array_contains(
         "_gone", F.xxhash64(normalised_line(l))) | ~l.rlike(f"[^{SPACE}]")), "\n")

@@ -224,6 +224,6 @@ def without_repeats(docs: DataFrame, width=200, doc_id="doc_id", text="text") ->
     kept = dedup_substrings(docs, width, doc_id, text, with_kept=True).filter("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
     whole = F.expr("try_validate_utf8(cast(_kept as string))")
-    cut = F.regexp_replace(F.decode(F.col("_kept"), F.lit("UTF-8")), "\\uFFFD", "")
+    cut = F.regexp_replace(F.expr("make_valid_utf8(cast(_kept as string))"), "\\uFFFD", "")
     return docs.join(kept, F.col(doc_id) == F.col("_id"), "left").withColumn(
         text, F.when(F.col("_id").isNull(), F.col(text)).otherwise(F.coalesce(whole, cut))).select(docs.columns)
