@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partweave.llm.common import materialise
 from partweave.llm.minhash import one_per_group
@@ -12,9 +13,13 @@ from partweave.llm.queries import tokenizer_file
 from partweave.llm.suffix_dedup import without_repeats
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without boilerplate lines."""
-    return quality_filter(docs)
+    return _recounted(quality_filter(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 200-byte strings that start twice or more in what is left; the first one stays."""
-    return without_repeats(docs, width=200)
+    """Texts without the 200-byte strings that start twice or more in what is left, wherever they stand."""
+    return _recounted(without_repeats(docs, width=200))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data masked."""
-    return mask_pii(docs)
+    return _recounted(mask_pii(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

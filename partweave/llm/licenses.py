@@ -103,8 +103,10 @@ def licence_scan(docs: DataFrame, templates=None, threshold=0.5, doc_id="doc_id"
         F.when(whole, F.trim(F.regexp_replace(body, f"[{SPACE}]+", " ")))
         .otherwise(F.array_join(header_lines(body), "\n")).alias("notice")))
     found = own_licences(rows, templates, threshold)
-    owned = materialise(rows.join(found, "notice", "left").select(
-        "doc_id", "path", "whole", F.col("licence").alias("own_licence"), "cosine"))
+    silent = rows.filter("notice = ''").select(
+        "doc_id", "path", "whole", F.lit(None).cast("string").alias("own_licence"), F.lit(None).cast("double").alias("cosine"))
+    owned = materialise(rows.filter("notice <> ''").join(found, "notice", "left").select(
+        "doc_id", "path", "whole", F.col("licence").alias("own_licence"), "cosine").unionAll(silent))
     directory = F.regexp_replace(F.col("path"), r"/?[^/]*$", "")
     votes = owned.filter("whole and own_licence is not null and path is not null").groupBy(
         directory.alias("directory"), "own_licence").agg(F.count(F.lit(1)).alias("n"))
