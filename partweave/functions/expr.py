@@ -72,7 +72,7 @@ def built_once(key, make: Callable[[], Column]) -> Column:
     from pyspark.sql import SparkSession
 
     session = SparkSession.getActiveSession()
-    key = (id(session.sparkContext._jvm) if session else None, key)
+    key = (session.sparkContext.applicationId if session else None, key)
     if key not in _BUILT:
         _BUILT[key] = make()
     return _BUILT[key]

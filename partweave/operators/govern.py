@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import half_up
 from ..masters import APPROVABLE, CLASSIFICATION_MASTER, SCHEMAS
+from ..session import cut_lineage
 from .components import connected_components
 from .describe import canonical_description, is_generic_of, override_attributes, template_code
 from .extract import by_family, value_text
@@ -65,12 +66,11 @@ def merge_group_attributes(members: DataFrame, group: str = "component", order:
 
 
 # ------------------------------------------------------------------------------------------------- codes and numbers
-def number_within(df: DataFrame, group: str, order: str, start: Column | None = None, out: str = "n",
-                  prefix: int = 2) -> DataFrame:
-    """1, 2, 3 ... per group in ``order`` (W6) without sorting a whole group in one task: rows are numbered inside
-    buckets of the first characters of the order key, and bucket offsets come from the bucket counts."""
-    bucket = F.substring(F.col(order), 1, prefix)
-    d = df.withColumn("_b", bucket)
+def number_within(df: DataFrame, group: str, order: str, start: Column | None = None, out: str = "n") -> DataFrame:
+    """1, 2, 3 ... per group in ``order`` (W6) without sorting a whole group in one task: rows are dealt by ranges of
+    (group, order), numbered inside a range, and offsets come from the counts of the ranges before.  The ranges are
+    written before they are numbered, so a retried task cannot deal them anew."""
+    d = cut_lineage(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_b", F.spark_partition_id()))
     counts = d.groupBy(group, "_b").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
@@ -87,15 +87,19 @@ def short_code(prefix: Column, n: Column) -> Column:
 
 
 def unique_codes(new: DataFrame, existing_codes: DataFrame, base: str = "code", order: str = "component") -> DataFrame:
-    """G6 - base, base-V2, base-V3 ...: the n-th free suffix after the codes that exist.
-
-    Existing suffix numbers of a base are found by stripping -V<n>; the new rows of one base are numbered after them."""
-    stem = F.regexp_replace(F.col("cnmc"), r"-V\d+$", "")
-    suffix = F.coalesce(F.nullif(F.regexp_extract("cnmc", r"-V(\d+)$", 1), F.lit("")).cast("int"), F.lit(1))
-    taken = existing_codes.select(stem.alias(base), suffix.alias("_s")).groupBy(base).agg(F.max("_s").alias("_taken"))
+    """G6 - base, base-V2, base-V3 ...: the n-th new row of a base takes the n-th suffix that is free.
+
+    A code counts as its own base (suffix 1) and, if it ends in -V<n>, as suffix n of what stands before; the k-th free
+    number is k plus the taken numbers t_i (ascending) with t_i - i < k."""
+    number = F.regexp_extract("cnmc", r"-V(\d+)$", 1).try_cast("int")
+    plain = existing_codes.select(F.col("cnmc").alias(base), F.lit(1).alias("_s"))
+    numbered = existing_codes.select(F.regexp_replace("cnmc", r"-V\d+$", "").alias(base), number.alias("_s")).filter("_s > 1")
+    taken = plain.unionByName(numbered).groupBy(base).agg(F.sort_array(F.collect_set("_s")).alias("_taken"))
     w = Window.partitionBy(base).orderBy(order)
-    n = F.coalesce(F.col("_taken"), F.lit(0)) + F.row_number().over(w)
-    return new.join(taken, base, "left").withColumn("_n", n).withColumn("cnmc", F.when(
+    joined = new.join(taken, base, "left").withColumn("_k", F.row_number().over(w))
+    before = F.size(F.filter("_taken", lambda t, i: t - i - 1 < F.col("_k")))
+    n = F.col("_k") + F.when(F.col("_taken").isNull(), 0).otherwise(before)
+    return joined.withColumn("_n", n).drop("_k").withColumn("cnmc", F.when(
         F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-V"), F.col("_n").cast("string")))).drop(
         "_taken", "_n")
 

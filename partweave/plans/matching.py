@@ -61,7 +61,8 @@ def run_matching(records: DataFrame, config: EngineConfig = DEFAULT_CONFIG, sche
                  existing: DataFrame | None = None, batch_id: str | None = None) -> MatchRun:
     """``records`` is the output of ``process_records``.  Intermediate results that feed several branches are written
     to the checkpoint folder once, so a lost executor costs one stage and nothing is recomputed per branch."""
-    prepared = cut_lineage(prepare(records, mappings, batch_id).select(*C.SIDE_COLUMNS))
+    # The boundary before the first filter keeps it from being pushed into the record program.
+    prepared = cut_lineage(prepare(cut_lineage(records), mappings, batch_id).select(*C.SIDE_COLUMNS))
     vars_ = cut_lineage(C.variants(prepared))
 
     # --- candidates: attribute verdict per profile pair, then only the pairs that can matter

@@ -116,7 +116,7 @@ def trigram_index(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def trigram_search(requests: DataFrame, index: DataFrame, id_col: str, threshold: float = 0.3) -> DataFrame:
-    """V10/K7 - requests(request_id, term) against an index: (request_id, id, sim) with sim > threshold.
+    """V10/K7 - requests(request_id, term) against an index: (request_id, id, sim) with sim >= threshold.
 
     An equi-join on the gram and one count per (request, text) replace the comparison of every request with every text;
     counting is partially aggregated before the shuffle, so a frequent gram costs no single task."""

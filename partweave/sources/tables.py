@@ -84,7 +84,7 @@ def load_schemas(overrides: DataFrame | None) -> dict[str, masters.CategorySchem
     out = dict(masters.SCHEMAS)
     if overrides is None:
         return out
-    rows = overrides.filter("active").orderBy("category", "ordinal").limit(10_000).collect()
+    rows = sorted(_bounded(overrides.filter("active")), key=lambda r: (r["category"], r["ordinal"]))
     for category in sorted({r["category"] for r in rows}):
         base = masters.SCHEMAS[category]
         fields = tuple(
