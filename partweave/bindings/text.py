@@ -72,7 +72,13 @@ def t10(spark, d):
         "legacy_code", "description", "long_text", "uom", "manufacturer", "part_number")]).alias("row_hash"))
 
 
-@query("t11_file_hash")
+def hex_part(at: int) -> str:
+    return f"CAST('0x' || substr(h, {at}, 15) AS BIGINT)"
+
+
+@query("t11_file_hash", f"""SELECT source, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum({hex_part(1)}) AS VARCHAR),
+  CAST(sum({hex_part(16)}) AS VARCHAR), CAST(sum({hex_part(31)}) AS VARCHAR), CAST(bit_xor({hex_part(46)}) AS VARCHAR)))
+  AS file_hash FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY source""")
 def t11(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(T.file_hash(F.sha2("text", 256)).alias("file_hash"))
 
@@ -210,8 +216,11 @@ def c1(spark, d):
         "category"].alias("category"))
 
 
-@query("c5_confidence", oracle("""SELECT record_id, CASE WHEN family = 'UNCLASSIFIED' THEN 0.8 ELSE 0.99 END AS confidence
-  FROM raw WHERE family IN ('UNCLASSIFIED', 'FASTENER')"""))
+# Fasteners score 4 for the noun and 1.5 each for thread and grade; the word HEAD (dialects 1 and 3) gives pumps 1.
+@query("c5_confidence", oracle("""SELECT record_id, CASE WHEN family = 'UNCLASSIFIED' THEN 0.8 ELSE floor(least(0.99,
+  0.55 + 0.35 * (7.0 - rival) / 7.0 + 0.02 * least(7.0, 5.0)) * 100 + 0.5) / 100 END AS confidence
+  FROM (SELECT record_id, family, CASE WHEN noun = 'bolt' AND rg IN (1, 3) THEN 1.0 ELSE 0.0 END AS rival FROM raw)
+  WHERE family IN ('UNCLASSIFIED', 'FASTENER')"""))
 def c5(spark, d):
     raw = Domain(spark, d).raw.filter("family in ('UNCLASSIFIED', 'FASTENER')")
     return raw.select("record_id", classify(T.normalize_description(F.col("description"))["normalized"])[

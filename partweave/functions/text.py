@@ -173,16 +173,13 @@ def row_hash(org: Column, *parts: Column) -> Column:
 def file_hash(row_hashes: Column) -> Column:
     """T11 - order-independent digest of all row hashes as an aggregate of constant size.
 
-    Three independent 64-bit sums/xors are combined, so a file of any length is digested by partial aggregation with
-    no row list gathered anywhere.  Duplicated rows still count (the sum and the row count change)."""
-    h = F.xxhash64(row_hashes)
-    return F.sha2(
-        F.concat_ws("|", F.count(row_hashes).cast("string"), F.bit_xor(h).cast("string"),
-                    F.sum(F.pmod(h, F.lit(2147483647)).cast("decimal(38,0)")).cast("string"),
-                    F.sum(F.pmod(F.xxhash64(F.reverse(row_hashes)), F.lit(2147483629)).cast("decimal(38,0)"))
-                    .cast("string")),
-        256,
-    )
+    ``row_hashes`` are hexadecimal digests.  Sums and xors of 60-bit parts of them are combined, so a file of any
+    length is digested by partial aggregation with no row list gathered anywhere.  Duplicated rows still count (the
+    sums and the row count change)."""
+    part = lambda at: F.conv(F.substring(row_hashes, at, 15), 16, 10).cast("bigint")
+    total = lambda at: F.sum(part(at).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", F.count(row_hashes).cast("string"), total(1), total(16), total(31),
+                              F.bit_xor(part(46)).cast("string")), 256)
 
 
 def parse_inch(c: Column) -> Column:
