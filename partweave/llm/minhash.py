@@ -172,7 +172,9 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss
     buckets = materialise(every.join(shared, "key"))
     popular = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     facts = materialise(classes.select("doc_id", "n_shingles", "signature").join(popular, "doc_id"))
-    texts = materialise(packed_texts(docs).join(facts.select("doc_id"), "doc_id", "left_semi"))
+    # Texts are dealt by id at every size and met by a hash of the few ids, so they are neither sorted nor is a set of
+    # ids that grows with the corpus broadcast.
+    texts = materialise(packed_texts(docs).join(facts.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"))
     body = lambda c: texts.select(F.col("doc_id").alias(c), F.col("packed").alias(f"packed_{c}"))
     exact = lambda pairs: overlaps(pairs.join(body("a"), "a").join(body("b"), "b"), k)
     linked = f"both > 0 and 100 * both >= {percent} * either"
