@@ -22,6 +22,8 @@ def validate_decisions(decisions: DataFrame, recommendations: DataFrame, max_bat
     """G1/G15 - one row per decision with ``outcome`` (APPROVED, REJECTED, NEEDS_INFO or NULL) and ``error``.
 
     decisions(pair_key, action, note); of several decisions about one pair only the first (by decided_at) counts."""
+    if max_batch is not None and decisions.limit(max_batch + 1).count() > max_batch:
+        raise ValueError(f"more than {max_batch} decisions in one batch")
     order = Window.partitionBy("pair_key").orderBy("decided_at", "action")
     recs = recommendations.select("pair_key", "status", "vetoed", "match_type", F.lit(True).alias("_found"))
     d = decisions.withColumn("_nth", F.row_number().over(order)).join(recs, "pair_key", "left")

@@ -95,9 +95,10 @@ def run_matching(records: DataFrame, config: EngineConfig = DEFAULT_CONFIG, sche
     stored = cut_lineage(stored.unionByName(evidence.select(OUTPUT)).dropDuplicates(["pair_key"]))
 
     dropped = R.collapse_into_groups(stored)
-    final = R.open_for_update(stored.join(dropped, "pair_key", "left_anti"), existing)
+    counted = stored.join(dropped, "pair_key", "left_anti")  # statistics cover what the guards then skip
+    final = R.open_for_update(counted, existing)
     final = R.with_proposal(final, canonical).drop("a_attributes", "b_attributes")
-    return MatchRun(final, R.assign_tasks(final), dropped, R.run_statistics(final))
+    return MatchRun(final, R.assign_tasks(final), dropped, R.run_statistics(counted))
 
 
 def _copy_pairs(prepared: DataFrame, vars_: DataFrame, config, schemas, rules) -> DataFrame:
