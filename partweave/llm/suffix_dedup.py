@@ -163,12 +163,16 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, width=200, q=100) -> DataF
     whole = left.join(kinds.filter("entries > 1").select("anchor", "extent"), ["anchor", "extent"], "left_semi").select(
         "doc_id", "start", (F.col("start") + F.col("shape") % 1024 + (width - 1)).alias("end"))
     # 3: one run of each kind where a bucket holds several kinds.
-    several = open_buckets(kinds, "anchor").select("anchor")
+    #    Kinds with two entries repeat whole, so a bucket is opened only for kinds that have one.
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("entries").alias("least")).filter(
+        "n > 1 and least = 1").select("anchor")
     differing = kinds.join(several, "anchor", "left_semi").select(
         "anchor", "one.doc_id", "one.start", "one.shape", (F.col("entries") == 1).alias("single"))
     blocks = materialise(opened_blocks(differing, texts, width, q))
     key = ["anchor", "block", "core"]
-    alike = materialise(blocks.join(open_buckets(blocks, *key).select(*key), key, "left_semi"))
+    wanted = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("single")).filter(
+        "n > 1 and single").select(*key)
+    alike = materialise(blocks.join(wanted, key, "left_semi"))
     strings = alike.select("anchor", "doc_id", "single", "start", F.posexplode("strings").alias("i", "string")).select(
         "anchor", "string", "doc_id", "single", (F.col("start") + F.col("i")).alias("start"))
     key = ["anchor", "string"]
