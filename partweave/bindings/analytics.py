@@ -380,11 +380,11 @@ def w5(spark, d):
     return V.next_in_queue("FAST_TRACK", x.recs, x.tasks)
 
 
-@query("w3_order_report", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'O'
-  ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 400""")
+@query("w3_order_report", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
+  ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey""")
 def w3(spark, d):
-    o = table(spark, d, "orders").filter("o_orderstatus = 'O'")
-    return o.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(400).select(
+    o = table(spark, d, "orders")
+    return o.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").select(
         "o_orderkey", "o_orderpriority", "o_totalprice")
 
 

@@ -119,10 +119,13 @@ def trigram_search(requests: DataFrame, index: DataFrame, id_col: str, threshold
     """V10/K7 - requests(request_id, term) against an index: (request_id, id, sim) with sim >= threshold.
 
     An equi-join on the gram and one count per (request, text) replace the comparison of every request with every text;
+    texts too short or too long to reach the threshold never meet the request (sim <= smaller / larger gram count);
     counting is partially aggregated before the shuffle, so a frequent gram costs no single task."""
     q = requests.select("request_id", trigrams(F.col("term")).alias("_g"))
     q = q.select("request_id", F.size("_g").alias("q_grams"), F.explode("_g").alias("gram"))
-    shared = q.join(index, "gram").groupBy("request_id", id_col).agg(
+    fits = (q["gram"] == index["gram"]) & (F.col("n_grams") >= F.col("q_grams") * threshold) & (
+        F.col("q_grams") >= F.col("n_grams") * threshold)
+    shared = q.join(index, fits).groupBy("request_id", id_col).agg(
         F.count("*").alias("shared"), F.min("q_grams").alias("q"), F.min("n_grams").alias("n"))
     sim = F.col("shared") / (F.col("q") + F.col("n") - F.col("shared"))
     return shared.withColumn("sim", sim.cast("double")).filter(F.col("sim") >= threshold).select(
