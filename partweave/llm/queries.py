@@ -113,4 +113,4 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
 
 def registry():
     queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op4_license_scan, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters)}
-    return queries, {"op5_quality_rules": oracles.OP5, "op9_url_filters": oracles.OP9}
+    return queries, {"op2_minhash": oracles.OP2, "op5_quality_rules": oracles.OP5, "op6_secret_scan": oracles.OP6, "op9_url_filters": oracles.OP9}

@@ -74,3 +74,29 @@ def test_pipeline(spark):
     assert set(texts[2]) == set(texts[1]) == set(texts[3])
     last = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in last} == set(texts[3])
+
+
+def test_oracle_sql_on_random_strings(spark, tmp_path):
+    """The SQL of the secret scan, on texts where the battery decides something."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from partweave.llm import oracles
+
+    draw = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [None, "", "é𝒳 token = 'abcdef12' x"]
+    for i in range(80):
+        size, alphabet = draw.choice([22, 36, 50, 120]), draw.choice([letters, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "Aa1b"])
+        texts.append("ü " + "".join(draw.choice(alphabet) for _ in range(size)) + " and " + "Thing0" * (4 + i % 9))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    spark.createDataFrame(list(zip(range(len(texts)), texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_secret_scan(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(oracles.OP6).df()
+    columns = sorted(got.columns)
+    plain = lambda frame: sorted(map(tuple, frame[columns].astype(str).values.tolist()))
+    assert plain(got) == plain(want) and got["spans"].str.contains("random").sum() > 20
