@@ -5,8 +5,9 @@ A line that more documents of its host hold than both limits allow is boilerplat
 that loses too large a part of its words is depleted and rejected.
 
 Defined results: null text is the empty text (rejected, it has fewer than the required words); a null host is the
-host ''; exact copies count as documents of their own, a repeated line counts once in its document; rows with the
-same id are separate documents only if the id differs, so ids must be unique; extra columns are kept by
+host ''; exact copies count as one document of their host, so that copies never make their own lines boilerplate
+(``each_copy`` counts them one by one, as the SQL of op5 does); a repeated line counts once in its document; rows with
+the same id are separate documents only if the id differs, so ids must be unique; extra columns are kept by
 ``quality_filter`` and never read; an empty table gives an empty table.
 """
 from __future__ import annotations
@@ -75,36 +76,51 @@ def base_rules(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     )
 
 
+def _content(text) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def line_counts(docs: DataFrame, doc_id="doc_id", text="text", host="source") -> DataFrame:
-    """(host, line, doc_id) -> words of that line in the document, repeats in the document summed."""
+    """(host, line, doc_id) -> words of that line in the document, repeats in the document summed, and its content."""
     body = F.coalesce(F.col(text), F.lit(""))
     per_line = F.transform(_lines(body), lambda l: F.struct(
         F.xxhash64(normalised_line(l)).alias("line"), F.size(words_of(l)).cast("long").alias("words")))
     return (
         docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"),
-                    F.explode(per_line).alias("_l"))
-        .groupBy("host", F.col("_l.line").alias("line"), "doc_id").agg(F.sum("_l.words").alias("words"))
+                    _content(text).alias("content"), F.explode(per_line).alias("_l"))
+        .groupBy("host", F.col("_l.line").alias("line"), "doc_id").agg(
+            F.sum("_l.words").alias("words"), F.first("content").alias("content"))
     )
 
 
-def boilerplate_lines(counts: DataFrame, docs: DataFrame, host="source", min_docs=20, max_share=0.1) -> DataFrame:
+def boilerplate_lines(counts: DataFrame, docs: DataFrame, host="source", min_docs=20, max_share=0.1, text="text",
+                      each_copy=False) -> DataFrame:
     """(host, line) held by more than ``min_docs`` documents of the host and more than ``max_share`` of them.
 
-    Counts are aggregated before each shuffle; a line that a third of a host's documents hold is one row per task."""
-    hosts = docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    Exact copies are one document here unless ``each_copy``.  Counts are aggregated before each shuffle; a line that a
+    third of a host's documents hold is one row per task, and a group of copies one row per task and line."""
+    of_host = F.coalesce(F.col(host), F.lit("")).alias("host")
     held = counts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(
         F.col("line_docs") > min_docs)
+    if each_copy:
+        hosts = docs.groupBy(of_host).agg(F.count(F.lit(1)).alias("host_docs"))
+    else:
+        hosts = docs.select(of_host, _content(text).alias("content")).distinct().groupBy("host").agg(
+            F.count(F.lit(1)).alias("host_docs"))
+        # Contents are at most as many as documents: only lines that pass with all copies are counted again.
+        held = counts.select("host", "line", "content").join(held.select("host", "line"), ["host", "line"], "left_semi").distinct().groupBy(
+            "host", "line").agg(F.count(F.lit(1)).alias("line_docs")).filter(F.col("line_docs") > min_docs)
     return held.join(hosts, "host").filter(F.col("line_docs") > F.col("host_docs") * max_share).select(
         "host", "line", "line_docs")
 
 
 def quality_verdicts(docs: DataFrame, doc_id="doc_id", text="text", host="source", min_docs=20, max_share=0.1,
-                     min_left=0.5) -> DataFrame:
+                     min_left=0.5, each_copy=False) -> DataFrame:
     """One row per document: base measures, words lost to boilerplate lines, and the verdict ``kept``.
 
     ``kept``: the base rules pass and at least ``min_left`` of the words are outside boilerplate lines."""
     counts = line_counts(docs, doc_id, text, host)
-    common = boilerplate_lines(counts, docs, host, min_docs, max_share)
+    common = boilerplate_lines(counts, docs, host, min_docs, max_share, text, each_copy)
     lost = (
         counts.join(common, ["host", "line"])
         .groupBy("doc_id").agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))

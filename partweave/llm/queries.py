@@ -18,7 +18,8 @@ from .url_lists import capture_keys, host_of, path_of, url_verdicts
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_verdicts(documents_of(spark, sf_dir)).select(
+    """Copies count one by one, as the SQL has it; the pipeline counts contents."""
+    return quality_verdicts(documents_of(spark, sf_dir), each_copy=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "n_removed_words", "kept")
 

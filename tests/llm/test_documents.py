@@ -178,6 +178,20 @@ def test_quality_lines(spark):
     assert 100 not in kept and "footer" not in kept[11] and kept[2] == rows[2][1]
 
 
+def test_quality_copies(spark):
+    """A third of a source is one clean document: its copies must not make its own lines boilerplate."""
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    filler = lambda i: "\n".join(" ".join(f"{letters(i)}x{letters(k)}x{letters(j)}" for j in range(20)) for k in range(3))
+    rows = [(i, filler(0 if i < 100 else i) + ("\nCommon footer line" if i >= 270 else ""), "h") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = {r["doc_id"]: r["text"] for r in quality.quality_filter(docs).collect()}
+    assert set(kept) == set(range(300)) and kept[7] == filler(0)
+    # 30 of 201 contents hold the footer (30 of 300 documents would not be more than a tenth)
+    assert kept[280] == filler(280)
+    found = {r["doc_id"]: r for r in quality.quality_verdicts(docs, each_copy=True).collect()}
+    assert not found[7]["kept"] and found[280]["n_removed_words"] == 0
+
+
 def test_quality_edges(odd_documents):
     rows = {r["doc_id"]: r for r in quality.quality_verdicts(odd_documents).collect()}
     assert rows[1]["n_words"] == rows[3]["n_words"] == 0 and rows[4]["base_failed"]
