@@ -2,9 +2,10 @@
 
 A document's licence text is, for a licence file, its whole text, and otherwise its header lines: every line that
 holds a licence word, wherever it stands, since notices come first or last.  Terms are lower-case words; weights are
-log(1 + tf) * idf with idf over the templates and unit length, so a template is a sparse vector of a few dozen terms
-and the cosine is a join on terms.  Of the templates at ``threshold`` or more the most similar one is the document's
-own licence; equal cosines go to the template of least name.
+log(1 + tf) * idf with idf over the templates and unit length, so a template is a sparse vector and the cosine is a
+join on terms.  A licence has several templates: short notices, SPDX lines with its id as one term, and its full text.
+Of the templates at ``threshold`` or more the most similar one gives the document's own licence; equal cosines go to
+the licence of least name.
 
 A document without one inherits from the nearest ancestor directory that has a licence file: directories are joined by
 path, one row per ancestor, and the longest path wins.  If a directory has several licence files, the most frequent
@@ -16,6 +17,8 @@ extra columns are not read; an empty table gives an empty table; templates are a
 """
 from __future__ import annotations
 
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,56 @@ TEMPLATES = {
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+
+#: SPDX ids of each licence.
+SPDX_IDS = {name: [name] for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0",
+                                      "ISC", "MIT", "MPL-2.0")} | {
+    name: [name, f"{name}-only", f"{name}-or-later"]
+    for name in ("AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")}
+
+#: Further notices, as files and headers hold them.
+NOTICES = {
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "BSD-2-Clause": ["Redistribution and use are permitted under the BSD 2-Clause License."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC0-1.0": ["Released into the public domain under CC0 1.0 Universal."],
+    "ISC": ["Released under the ISC License. Permission to use, copy, modify, and distribute this software is hereby granted."],
+    "MIT": ["Released under the MIT License."],
+} | {
+    f"{short}-{version}": [
+        f"This work is licensed under the GNU {name} General Public License, version {number}.",
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General "
+        f"Public License as published by the Free Software Foundation, either version {number} of the License, or (at your "
+        "option) any later version."]
+    for short, name, version, number in (
+        ("AGPL", "Affero", "3.0", "3"), ("GPL", "", "1.0", "1"), ("GPL", "", "2.0", "2"), ("GPL", "", "3.0", "3"),
+        ("LGPL", "Library", "2.0", "2"), ("LGPL", "Lesser", "2.1", "2.1"), ("LGPL", "Lesser", "3.0", "3"))}
+
+#: What the AGPL says beyond the GPL of the same version.
+AFFERO = ("Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of "
+          "this License, if you modify the Program, your modified version must prominently offer all users interacting with "
+          "it remotely through a computer network (if your version supports such interaction) an opportunity to receive the "
+          "Corresponding Source of your version by providing access to the Corresponding Source from a network server at no "
+          "charge, through some standard or customary means of facilitating copying of software.")
+
+
+def full_texts() -> dict[str, str]:
+    """Licence -> full text.  That of the AGPL is composed from the GPL's; the CC BY texts are not included."""
+    found = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8")
+             for f in package_files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
+    affero = " ".join(found["GPL-3.0"].split()).replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    return found | {"AGPL-3.0": f"{affero} {AFFERO}"}
+
+
+def all_templates() -> dict[str, list[str]]:
+    """Licence -> its notices, SPDX lines and full text."""
+    texts = full_texts()
+    return {name: [*([TEMPLATES[name]] if name in TEMPLATES else []), *NOTICES.get(name, []),
+                   *[f"SPDX-License-Identifier: {i}" for i in ids], *([texts[name]] if name in texts else [])]
+            for name, ids in SPDX_IDS.items()}
+
+
 LICENCE_WORDS = r"(?i)licen[sc]e|copyright|spdx|redistribution|permission is hereby"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
@@ -57,19 +110,20 @@ def _weighted(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return rows.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
 
 
-def template_vectors(spark, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(template, term, weight) and (term, idf)."""
-    if len(templates) > MOST_TEMPLATES:
+def template_vectors(spark, templates: dict[str, str | list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(template, term, weight) and (term, idf); a template is a struct of its licence and its place there."""
+    given = [(name, n, text) for name, of in sorted(templates.items()) for n, text in enumerate([of] if isinstance(of, str) else of)]
+    if len(given) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    rows = spark.createDataFrame(sorted(templates.items()), "template string, text string")
-    counts = rows.select("template", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    rows = spark.createDataFrame(given, "licence string, n int, text string")
+    counts = rows.select(F.struct("licence", "n").alias("template"), F.explode(terms(F.col("text"))).alias("term")).groupBy(
+        "template", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = counts.groupBy("term").agg(
-        (F.log(F.lit(1.0 + len(templates)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+        (F.log(F.lit(1.0 + len(given)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     return _weighted(counts, idf, "template"), idf
 
 
-def own_licences(files: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+def own_licences(files: DataFrame, templates: dict[str, str | list[str]], threshold: float) -> DataFrame:
     """(notice, licence, cosine) of the distinct notices of ``files`` (notice).
 
     Notices repeat across most of a corpus, so each distinct text is scored once."""
@@ -83,7 +137,7 @@ def own_licences(files: DataFrame, templates: dict[str, str], threshold: float)
     )
     best = scored.filter(F.col("cosine") >= threshold).groupBy("notice").agg(
         F.min(F.struct((-F.col("cosine")).alias("less"), F.col("template"))).alias("b"))
-    return best.select("notice", F.col("b.template").alias("licence"), (-F.col("b.less")).alias("cosine"))
+    return best.select("notice", F.col("b.template.licence").alias("licence"), (-F.col("b.less")).alias("cosine"))
 
 
 def ancestors(path: Column) -> Column:
@@ -95,7 +149,7 @@ def ancestors(path: Column) -> Column:
 def licence_scan(docs: DataFrame, templates=None, threshold=0.5, doc_id="doc_id", text="text", path="path",
                  is_licence_file: Column | None = None) -> DataFrame:
     """One row per document: own_licence, cosine, licence, inherited_from (directory, null if not inherited)."""
-    templates = TEMPLATES if templates is None else templates
+    templates = all_templates() if templates is None else templates
     whole = F.coalesce(is_licence_file if is_licence_file is not None else F.col(path).rlike(LICENCE_FILE), F.lit(False))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = materialise(docs.select(
