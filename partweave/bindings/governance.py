@@ -83,3 +83,20 @@ def a4_search(spark, d):
         F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.lit("").alias("actor"), F.lit("").alias("reason"),
         F.col("props").alias("payload"), F.lit("").alias("entity_id"))
     return search_ledger(ledger, text="a", action="purchase", before=5000, limit=800).select("seq")
+
+
+@query("a4_ledger_search_text", """SELECT event_id AS seq FROM events WHERE contains(upper(props), '"K": 7')
+  ORDER BY event_id DESC LIMIT 500""")
+def a4_search_text(spark, d):
+    """A text that occurs, over the events of every action and id."""
+    ledger = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.lit("").alias("actor"), F.lit("").alias("reason"),
+        F.col("props").alias("payload"), F.lit("").alias("entity_id"))
+    return search_ledger(ledger, text='"k": 7').select("seq")
+
+
+@query("p8_ledger_newest", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def p8_newest(spark, d):
+    """The page that starts with the newest event."""
+    ledger = table(spark, d, "events").withColumnsRenamed({"event_id": "seq", "event_type": "action"})
+    return search_ledger(ledger).select(F.col("seq").alias("event_id"), F.col("action").alias("event_type"))
