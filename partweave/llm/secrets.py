@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.  DataFrame functions only.
 
 The battery looks at every maximal run of key-like characters that is long enough.  It infers the encoding (hex,
-base32, base64), maps characters to symbol values, and tests the hypothesis "symbols are drawn at random" three ways:
+base32, base64, or the smallest alphabet of ENCODINGS that holds a string of two of the three character classes), maps characters to symbol values, and tests the hypothesis "symbols are drawn at random" three ways:
 chi-squared uniformity over the alphabet, a runs test around the middle of the alphabet, and lag-1 serial correlation.
 The three p-values are combined by Fisher's method.  Benjamini-Hochberg, run apart for each length class so that many
 short strings don't set the bar for long ones, bounds the share of random strings among those that are dismissed as
@@ -26,13 +26,22 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "random"]
 
-#: Encodings in the order in which they are tried: pattern, alphabet.  Base64 asks for all three character classes,
-#: since a run of letters alone is a word in most texts.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+#: Encodings in the order in which they are tried: pattern, alphabet.  Each asks for two of the character classes digit,
+#: upper and lower case at least, since a run of one class is a word in most texts.
 ENCODINGS = [
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+=*$",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base32_lower", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*$", _LOWER + "234567"),
+    ("base36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+=*$", _LOWER + _DIGITS),
+    ("base36_upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+=*$", _UPPER + _DIGITS),
+    ("letters", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+=*$", _UPPER + _LOWER),
+    ("base38", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_-]+=*$", _LOWER + _DIGITS + "+/"),
+    ("base38_upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_-]+=*$", _UPPER + _DIGITS + "+/"),
+    ("letters_signs", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z+/_-]+=*$", _UPPER + _LOWER + "+/"),
 ]
 LENGTH_CLASSES = [20, 32, 48, 96]
 P_BINS = 400
@@ -85,9 +94,8 @@ def encoding_of(value: Column) -> Column:
 
 def randomness(tokens: DataFrame, value="value") -> DataFrame:
     """Add encoding, p_uniform, p_runs, p_serial and the combined ``p_random``; tokens without encoding are dropped."""
-    alphabet = F.lit(None).cast("string")
-    for name, _, letters in ENCODINGS:
-        alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
+    # A map, not a chain of comparisons: the optimiser would repeat the encoding's patterns in each of them.
+    alphabet = F.try_element_at(F.create_map(*[F.lit(x) for name, _, letters in ENCODINGS for x in (name, letters)]), F.col("encoding"))
     plain = F.rtrim(F.col(value), F.lit("="))
     plain = F.when(F.col("encoding") == "hex", F.lower(plain)).otherwise(F.translate(plain, "-_", "+/"))
     length, size = F.col("_n").cast("double"), F.col("_a").cast("double")
