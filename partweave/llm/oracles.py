@@ -92,6 +92,17 @@ FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id
 """
 
 
+OP13 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (first <> doc_id))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+
 def _spans(name: str, pattern: str, group: int) -> str:
     """CTE (doc_id, s, e, v, g): matches with code-point positions, from the lengths of the pieces between them."""
     return rf"""{name} AS (

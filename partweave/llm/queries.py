@@ -5,15 +5,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import oracles, pii
-from .common import documents_of
+from .common import documents_of, let, SPACE
 from .bpe import encode_documents
 from .embed_dups import near_duplicate_vectors
 from .licenses import header_lines, licence_scan
 from .minhash import near_duplicates
+from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .quality import quality_verdicts
 from .suffix_dedup import dedup_substrings
 from .secrets import PATTERNS, secret_spans, span_text
+from .token_align import align_documents
 from .url_lists import capture_keys, host_of, path_of, url_verdicts
 
 
@@ -112,6 +115,45 @@ def op10_bpe(spark, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_token_align(spark, sf_dir: str) -> DataFrame:
+    return align_documents(documents_of(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")).drop("groups")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The rule of the contract: in a tenth of the documents, by the checksum of the id, words repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def tiled(ws):
+        n = F.size(ws).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(ws, place(i).cast("int"))), " ")
+
+    words = F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")
+    planted = let(words, lambda ws: F.when(F.size(ws) > 0, tiled(ws)).otherwise(F.lit("")))
+    return docs.withColumn("text", F.when(h % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(documents_of(spark, sf_dir).select("doc_id", "text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("at"), r["period"].alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    found = periodic_runs(docs, least=12, collapsed="collapsed").withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.at").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.q").alias("period"), F.expr("1000 * best.length div best.q").alias("exponent_milli"),
+        sha(F.array_join(lines, "")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_line_dedup(spark, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents_of(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def registry():
-    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op4_license_scan, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters)}
-    return queries, {"op2_minhash": oracles.OP2, "op5_quality_rules": oracles.OP5, "op6_secret_scan": oracles.OP6, "op9_url_filters": oracles.OP9}
+    queries = {f.__name__: f for f in (op1_suffix_dedup, op2_minhash, op3_packing, op4_license_scan, op10_bpe, op5_quality_rules, op6_secret_scan, op7_pii, op8_embedding_dups, op9_url_filters,
+                                       op11_token_align, op12_periodic_runs, op13_line_dedup)}
+    return queries, {"op2_minhash": oracles.OP2, "op5_quality_rules": oracles.OP5, "op6_secret_scan": oracles.OP6, "op9_url_filters": oracles.OP9, "op13_line_dedup": oracles.OP13}

@@ -57,7 +57,7 @@ def test_vectors(spark):
 
 def test_registered():
     names, sql = queries.registry()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(sql) <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(sql) <= set(names)
 
 
 def test_pipeline(spark):
