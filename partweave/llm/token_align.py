@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .bpe import SPLIT, byte_alphabet, slices
 from .common import materialise
+from .fingerprints import _powers, mixed
 
 BLOCK = 4_000_000
-MEMO = 300_000
+MEMO = 150_000
 #: The fast splitter of A recurses through white space; longer stretches go through the library that the file is for.
 LONG_SPACE = re.compile(r"\s{2000}")
 
@@ -68,8 +71,10 @@ class Pair:
         piece = lambda i: bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(
             i) else self.model.id_to_piece(i).replace("\u2581", " ").encode()
         self.b = [piece(i) for i in range(self.model.get_piece_size())]
+        self.text_a, self.text_b = [[str(i) for i in range(len(t))] for t in (self.a, self.b)]
         self.size_a, self.space_a = byte_table(self.a)
         self.size_b, self.space_b = byte_table(self.b)
+        #: Groups as text and link codes of a window, by its ids.
         self.memo: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def encode_a(self, text: str) -> list[int]:
@@ -77,44 +82,91 @@ class Pair:
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
-    def window(self, a: bytes, b: bytes) -> tuple[str, bytes]:
-        """Groups of a window as text, and the codes (A id, B id) of its links."""
-        ids_a, ids_b = np.frombuffer(a, "<u4").tolist(), np.frombuffer(b, "<u4").tolist()
-        ends_b, at = {}, 0
-        for j, y in enumerate(ids_b):
-            at += self.size_b[y]
-            ends_b[at] = j
-        groups, codes, at, first_a, first_b = [], [], 0, 0, 0
-        for i, x in enumerate(ids_a):
-            at += self.size_a[x]
-            j = ends_b.get(at)
-            if j is not None:
-                groups.append(",".join(map(str, ids_a[first_a:i + 1])) + "|" + ",".join(map(str, ids_b[first_b:j + 1])))
-                codes.append(x << 32 | ids_b[j])
-                first_a, first_b = i + 1, j + 1
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[a, b] = found = ";".join(groups), np.array(codes, "<i8").tobytes()
-        return found
-
-    def align(self, text: str, ids_b: list[int]) -> tuple[int, int, str, np.ndarray] | None:
-        """Numbers of tokens, groups as text and link codes; None if a tokenizer does not give the bytes back."""
+    def tokens(self, text: str, ids_b: list[int]) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides; None if one of them does not give the bytes back."""
         whole = " " + text
         ids_a = self.encode_a(whole)
         whole = whole.encode()
-        if b"".join([self.a[i] for i in ids_a]) != whole or b"".join([self.b[i] for i in ids_b]) != whole:
-            return None
-        a, b = np.array(ids_a, "<u4"), np.array(ids_b, "<u4")
+        same = b"".join([self.a[i] for i in ids_a]) == whole and b"".join([self.b[i] for i in ids_b]) == whole
+        return (ids_a, ids_b) if same else None
+
+    def align(self, docs: list[tuple[list[int], list[int]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups of each document as text, link codes (A id, B id) of all documents, and the bounds between them."""
+        if not docs:
+            return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+        a, b = [np.fromiter(chain.from_iterable(d[i] for d in docs), np.int64) for i in (0, 1)]
+        bounds_a = np.cumsum([0] + [len(d[0]) for d in docs])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        inner = slice(0, len(at_a) - 1)  # the last shared end closes the text
-        spaced = self.space_a[a[at_a[inner] + 1]] & self.space_b[b[at_b[inner] + 1]]
-        cut_a = (4 * np.concatenate([[0], at_a[inner][spaced] + 1, [len(a)]])).tolist()
-        cut_b = (4 * np.concatenate([[0], at_b[inner][spaced] + 1, [len(b)]])).tolist()
-        raw_a, raw_b, known, new = a.tobytes(), b.tobytes(), self.memo.get, self.window
-        windows = [known((x := raw_a[i:j], y := raw_b[k:l])) or new(x, y)
-                   for i, j, k, l in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        return len(a), len(b), ";".join([w[0] for w in windows]), np.frombuffer(b"".join([w[1] for w in windows]), "<i8")
+        # Documents give the same bytes on both sides, so a document's end is a shared end too.
+        at = np.searchsorted(ends_a, ends_b)
+        shared_b = np.flatnonzero(ends_a[at] == ends_b)
+        shared_a = at[shared_b]
+        cut = np.isin(shared_a + 1, bounds_a[1:])
+        inner = ~cut
+        cut[inner] = self.space_a[a[shared_a[inner] + 1]] & self.space_b[b[shared_b[inner] + 1]]
+        cuts = np.flatnonzero(cut)
+        stop_a, stop_b = shared_a[cuts] + 1, shared_b[cuts] + 1
+        start_a, start_b = np.concatenate([[0], stop_a[:-1]]), np.concatenate([[0], stop_b[:-1]])
+        # Windows with equal ids are one: first by a fingerprint, then by their ids.
+        print_of = ranges(a, start_a, stop_a) + mixed(ranges(b, start_b, stop_b) + np.uint64(1))
+        _, first, which = np.unique(print_of, return_index=True, return_inverse=True)
+        same = equal_ranges(a, start_a, stop_a, first[which]) & equal_ranges(b, start_b, stop_b, first[which])
+        for i in np.flatnonzero(~same).tolist():
+            which[i], first = len(first), np.append(first, i)
+        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        groups_in = np.diff(np.concatenate([[0], cuts + 1]))  # shared ends of a window
+        last = cuts + 1
+        texts, codes = [], []
+        bounds = [start_a[first], stop_a[first], start_b[first], stop_b[first], (last - groups_in)[first], last[first]]
+        ids_a, ids_b, ends_a, ends_b = a.tolist(), b.tolist(), shared_a.tolist(), shared_b.tolist()
+        for i, j, k, l, m, n in zip(*[x.tolist() for x in bounds]):
+            key = raw_a[4 * i:4 * j], raw_b[4 * k:4 * l]
+            found = self.memo.get(key)
+            if found is None:
+                found = self.window(ids_a, ids_b, i, k, ends_a[m:n], ends_b[m:n])
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[key] = found
+            texts.append(found[0])
+            codes.append(found[1])
+        flat = np.frombuffer(b"".join(codes), "<i8")
+        size = groups_in[first]
+        at = np.concatenate([[0], np.cumsum(size)])[:-1]
+        n_links = size[which]
+        links = flat[np.repeat(at[which], n_links) + np.arange(n_links.sum()) - np.repeat(np.cumsum(n_links) - n_links, n_links)]
+        per_doc = np.searchsorted(stop_a, bounds_a[1:]) + 1
+        edges = [0, *per_doc.tolist()]
+        which = which.tolist()
+        joined = [";".join([texts[i] for i in which[x:y]]) for x, y in zip(edges, edges[1:])]
+        return joined, links, np.concatenate([[0], np.cumsum(n_links)])[np.array(edges)]
+
+    def window(self, a: list[int], b: list[int], i: int, k: int, ends_a: list[int], ends_b: list[int]) -> tuple[str, bytes]:
+        """The alignment of the window that starts at places i and k and shares the given ends: groups as text, and the
+        codes of its links."""
+        groups, codes, text_a, text_b = [], array("q"), self.text_a, self.text_b
+        for x, y in zip(ends_a, ends_b):
+            groups.append(",".join([text_a[t] for t in a[i:x + 1]]) + "|" + ",".join([text_b[t] for t in b[k:y + 1]]))
+            codes.append(a[x] << 32 | b[y])
+            i, k = x + 1, y + 1
+        return ";".join(groups), codes.tobytes()
+
+
+def ranges(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A fingerprint of each range of ids."""
+    powers, inverse = _powers(len(ids) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(1)) * powers[:len(ids)])])
+    return mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+
+
+def equal_ranges(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each range holds the ids of the range number ``other``; the ranges follow one another."""
+    size = stop - start
+    same = size == size[other]
+    fits = np.repeat(same, size)
+    place = np.arange(len(ids)) - np.repeat(start, size) + np.repeat(start[other], size)
+    differs = np.zeros(len(ids), bool)
+    differs[fits] = ids[fits] != ids[place[fits]]
+    return same & ~np.logical_or.reduceat(differs, start)
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -144,19 +196,24 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, with_groups: bool
         for batch in batches:
             for part in slices(batch, 1, BLOCK):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                rows, codes = [], []
-                for text, ids_b in zip(texts, pair.model.encode(texts, num_threads=1)):
-                    found = pair.align(text, ids_b) if text else None
-                    n_a, n_b, groups, links = found or (0, 0, "", np.zeros(0, "<i8"))
-                    distinct, times = np.unique(links, return_counts=True)
-                    codes.append((distinct, times))
+                coded = [pair.tokens(t, b) if t else None for t, b in zip(texts, pair.model.encode(texts, num_threads=1))]
+                joined, links, edges = pair.align([c for c in coded if c])
+                listed, every = np.unique(links, return_inverse=True)
+                rows, which, times, i = [], [], [], 0
+                for found in coded:
+                    if found is None:
+                        rows.append((0, 0, 0, 0, "", "" if with_groups else None, 0))
+                        continue
+                    distinct, n = np.unique(every[edges[i]:edges[i + 1]], return_counts=True)
+                    which.append(distinct)
+                    times.append(n)
                     # An offset is shared by one token of each side, so groups and links are as many.
-                    rows.append((n_a, n_b, len(links), len(links), hashlib.sha256(groups.encode()).hexdigest() if n_a else "",
-                                 groups if with_groups else None, len(distinct)))
-                every = np.concatenate([c for c, _ in codes])
-                times = np.concatenate([t for _, t in codes])
-                listed, which = np.unique(every, return_inverse=True)
-                totals = np.bincount(which, times, len(listed)).astype(np.int64)
+                    n_links = int(edges[i + 1] - edges[i])
+                    rows.append((len(found[0]), len(found[1]), n_links, n_links, hashlib.sha256(joined[i].encode()).hexdigest(),
+                                 joined[i] if with_groups else None, len(distinct)))
+                    i += 1
+                which, times = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, times)]
+                totals = np.bincount(every, minlength=len(listed)).astype(np.int64)
                 values = [block, part.column(0).to_pylist(), *map(list, zip(*rows)), which.astype(np.int32), times.astype(np.int32),
                           listed.astype(np.int64), totals]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
