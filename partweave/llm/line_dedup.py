@@ -32,6 +32,7 @@ from .suffix_dedup import _unpacked
 
 #: Bits of one slice of a filter, and bits that a key sets.
 SLICE, MARKS = 1 << 16, 3
+CHUNK, KEYS = 1 << 21, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,32 +76,44 @@ def marks(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], least: int):
-    """(ids, valid ids, texts as an array, lines, long lines) of about 16 MB of text at a time."""
+    """(ids, lines, long lines with an id, texts) of about ``CHUNK`` bytes of text at a time: numbers of eight bytes for
+    each of them, so a chunk costs some hundred megabytes when it is 2 MB."""
     for batch in batches:
-        for begin, end, data, offsets in byte_chunks(batch.column(1).fill_null(""), 1 << 24):
+        for begin, end, data, offsets in byte_chunks(batch.column(1).fill_null(""), CHUNK):
             lines = Lines(data, offsets)
             ids = batch.column(0).slice(begin, end - begin)
             known = np.array(ids.is_valid())
             at = np.flatnonzero((lines.points >= least) & known[lines.row])
-            yield ids, known, data, offsets, lines, at, batch.column(1).slice(begin, end - begin)
+            yield ids, lines, at, batch.column(1).slice(begin, end - begin)
 
 
 def key_bits(docs: DataFrame, bits: int, least: int) -> DataFrame:
-    """(slice, once, twice): 16-bit places that the keys of a chunk set."""
+    """(slice, once, twice): 16-bit places that the keys of a task set, about ``KEYS`` keys at a time."""
+
+    def sent(found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, docs_of = np.unique(np.concatenate(found), return_counts=True)
+        once = np.unique(marks(keys, bits))
+        twice = np.unique(marks(keys[docs_of > 1], bits))
+        pieces = np.unique(once // SLICE)
+        cut = lambda x: [b.tobytes() for b in np.split((x % SLICE).astype("<u2"), np.searchsorted(x, pieces[1:] * SLICE))]
+        return pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(cut(once), pa.binary()), pa.array(
+            cut(twice), pa.binary())], names=["slice", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, _, lines, at, _ in _chunks(batches, least):
-            if not len(at):
-                continue
-            pairs = np.unique(np.stack([lines.row[at].astype(np.uint64), lines.hashes(at)]), axis=1)[1]
-            keys, docs_of = np.unique(pairs, return_counts=True)
-            once = np.unique(marks(keys, bits))
-            twice = np.unique(marks(keys[docs_of > 1], bits))
-            pieces = np.unique(once // SLICE)
-            cut = lambda x: [b.tobytes() for b in np.split(
-                (x % SLICE).astype("<u2"), np.searchsorted(x, pieces[1:] * SLICE))]
-            yield pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(cut(once), pa.binary()), pa.array(
-                cut(twice), pa.binary())], names=["slice", "once", "twice"])
+        found, held = [], 0
+        for _, lines, at, _ in _chunks(batches, least):
+            row, hashes = lines.row[at], lines.hashes(at)
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            new = np.ones(len(at), bool)  # a key once for each of its documents
+            new[1:] = (np.diff(row) != 0) | (np.diff(hashes) != 0)
+            found.append(hashes[new])
+            held += int(new.sum())
+            if held >= KEYS:
+                yield sent(found)
+                found, held = [], 0
+        if held:
+            yield sent(found)
 
     return docs.mapInArrow(run, "slice int, once binary, twice binary")
 
@@ -139,7 +152,7 @@ def scan(docs: DataFrame, least: int, bits: int, held) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=3).compress
         twice = held.value
-        for ids, known, data, offsets, lines, at, texts in _chunks(batches, least):
+        for ids, lines, at, texts in _chunks(batches, least):
             hashes = lines.hashes(at)
             places = marks(hashes, bits)
             passed = ((twice[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(0)
