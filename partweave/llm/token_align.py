@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -71,7 +70,8 @@ class Pair:
         piece = lambda i: bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(
             i) else self.model.id_to_piece(i).replace("\u2581", " ").encode()
         self.b = [piece(i) for i in range(self.model.get_piece_size())]
-        self.text_a, self.text_b = [[str(i) for i in range(len(t))] for t in (self.a, self.b)]
+        #: An id with the sign behind it, by twice the id plus one if it closes a group; A's ids first.
+        self.names = [f"{i}{end}" for t, last in ((self.a, "|"), (self.b, ";")) for i in range(len(t)) for end in (",", last)]
         self.size_a, self.space_a = byte_table(self.a)
         self.size_b, self.space_b = byte_table(self.b)
         #: Groups as text and link codes of a window, by its ids.
@@ -115,18 +115,17 @@ class Pair:
             which[i], first = len(first), np.append(first, i)
         raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
         groups_in = np.diff(np.concatenate([[0], cuts + 1]))  # shared ends of a window
-        last = cuts + 1
-        texts, codes = [], []
-        bounds = [start_a[first], stop_a[first], start_b[first], stop_b[first], (last - groups_in)[first], last[first]]
-        ids_a, ids_b, ends_a, ends_b = a.tolist(), b.tolist(), shared_a.tolist(), shared_b.tolist()
+        spelled, raw_codes = self.spelled(a, b, shared_a, shared_b), (a[shared_a] << 32 | b[shared_b]).astype("<i8").tobytes()
+        name, known, memo, texts, codes = self.names.__getitem__, self.memo.get, self.memo, [], []
+        bounds = [start_a[first], stop_a[first], start_b[first], stop_b[first], (cuts + 1 - groups_in)[first], (cuts + 1)[first]]
         for i, j, k, l, m, n in zip(*[x.tolist() for x in bounds]):
             key = raw_a[4 * i:4 * j], raw_b[4 * k:4 * l]
-            found = self.memo.get(key)
+            found = known(key)
             if found is None:
-                found = self.window(ids_a, ids_b, i, k, ends_a[m:n], ends_b[m:n])
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[key] = found
+                found = "".join(map(name, spelled[i + k:j + l]))[:-1], raw_codes[8 * m:8 * n]
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[key] = found
             texts.append(found[0])
             codes.append(found[1])
         flat = np.frombuffer(b"".join(codes), "<i8")
@@ -140,15 +139,15 @@ class Pair:
         joined = [";".join([texts[i] for i in which[x:y]]) for x, y in zip(edges, edges[1:])]
         return joined, links, np.concatenate([[0], np.cumsum(n_links)])[np.array(edges)]
 
-    def window(self, a: list[int], b: list[int], i: int, k: int, ends_a: list[int], ends_b: list[int]) -> tuple[str, bytes]:
-        """The alignment of the window that starts at places i and k and shares the given ends: groups as text, and the
-        codes of its links."""
-        groups, codes, text_a, text_b = [], array("q"), self.text_a, self.text_b
-        for x, y in zip(ends_a, ends_b):
-            groups.append(",".join([text_a[t] for t in a[i:x + 1]]) + "|" + ",".join([text_b[t] for t in b[k:y + 1]]))
-            codes.append(a[x] << 32 | b[y])
-            i, k = x + 1, y + 1
-        return ";".join(groups), codes.tobytes()
+    def spelled(self, a: np.ndarray, b: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> list[int]:
+        """The alignment as a row of ``names``: the A ids of a group, its B ids, and the next group."""
+        in_a, in_b = np.diff(shared_a, prepend=-1), np.diff(shared_b, prepend=-1)
+        out, last_a, last_b = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[shared_a] = last_b[shared_b] = True
+        # A's ids stand behind the B ids of earlier groups, B's behind the A ids of their own group as well.
+        out[np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)] = 2 * a + last_a
+        out[np.arange(len(b)) + np.repeat(np.cumsum(in_a), in_b)] = 2 * (len(self.a) + b) + last_b
+        return out.tolist()
 
 
 def ranges(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
