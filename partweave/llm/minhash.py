@@ -3,8 +3,8 @@
 A document is its set of distinct ``k``-word shingles.  Equal sets are one class before anything is compared.  Bands of
 signature rows put classes into buckets; a bucket never emits its pairs.  Its members meet its centre, the member that
 shares most bucket places, which in a group of copies is the original.  Members that this leaves outside the centre's
-component then meet the members of other components, block by block, unless their distances to the centre rule a link
-out.  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
+component then meet the members of other components, block by block and by signature, unless their distances to the
+centre rule a link out; texts move only for the pairs that are left.  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
 
 Verification compares 16 signature values at a time and drops a pair as soon as the posterior probability that its
 similarity reaches the threshold (uniform prior) falls under ``miss``; survivors are confirmed on their full sets.
@@ -206,71 +206,66 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss
     spread = materialise(rows.withColumns(dict(zip("ab", pair("doc_id", "centre")))).join(far, ["a", "b"]).select(
         "centre", "doc_id", "label", "far", (F.col("label") != F.col("home")).alias("away")).groupBy(
         "centre", "doc_id", "label", "far").agg(F.max("away").alias("away")))
+    # A member lives in one block of its centre; members away from the centre's component also visit the other blocks.
     sizes = spread.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = spread.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "centre", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "label",
-        "far", "away").join(facts.select("doc_id", "signature"), "doc_id").join(texts, "doc_id")
-    return links.unionAll(block_links(dealt, k, percent, miss))
+    member = spread.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    places = F.when(F.col("away"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    dealt = member.withColumn("block", F.explode(places)).select(
+        "centre", "block", (F.col("block") == F.col("mine")).alias("resident"), "doc_id", "label", "far", "away").join(
+        facts.select("doc_id", "n_shingles", "signature"), "doc_id")
+    met = materialise(block_pairs(dealt, percent, miss).distinct())
+    return links.unionAll(exact(met).filter(linked).select("a", "b"))
 
 
-def block_links(dealt: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
-    """(a, b) links between members of a centre that are apart: one task at a time holds two blocks of members.
+def block_pairs(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(a, b) of members of a centre that may be linked though they are apart: ids and signatures only.
 
-    Pairs are tried if their components differ, one end is away from the centre's, and their distances to the centre
-    differ by no more than a link can bridge (Jaccard distance is a metric); then by signature, then on full sets."""
+    A task holds the residents of one block, and a slice of its visitors at a time.  Pairs are tried if their components
+    differ, their sizes allow a link and their distances to the centre differ by no more than a link can bridge (Jaccard
+    distance is a metric); then the sequential test decides."""
     needed, reach = least_matches(percent, miss), 1 - percent / 100 + 1e-9
 
-    def compare(i: int, j: int, rows: list) -> list[tuple[int, int]]:
-        mine, ids, label = [np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2)]
-        far, away = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        if not away.any():
-            return []
-        signature = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(-1, SIGNATURE)
-        sets, out = {}, []
-
-        def shingles(at: int) -> np.ndarray:
-            if at not in sets:
-                data = np.frombuffer(_unpacked(rows[at][6]), np.uint8)
-                sets[at] = shingle_sets(data, np.array([0, len(data)]), k)[1]
-            return sets[at]
-
-        for x in np.flatnonzero(away).tolist():
-            y = np.flatnonzero((label != label[x]) & (~away | (ids > ids[x])) & (np.abs(far - far[x]) <= reach)
-                               & ((mine != mine[x]) if i != j else True))
-            matches = np.zeros(len(y), np.int64)
-            for step, least in enumerate(needed):
-                at = slice(step * BATCH, (step + 1) * BATCH)
-                matches += (signature[y, at] == signature[x, at]).sum(1)
-                y, matches = y[matches >= least], matches[matches >= least]
-            for other in y.tolist():
-                one, two = shingles(x), shingles(other)
-                if min(len(one), len(two)) * 100 >= max(len(one), len(two)) * percent:
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    if both and 100 * both >= percent * (len(one) + len(two) - both):
-                        out.append((int(ids[x]), int(ids[other])))
-        return out
+    def compare(home: list[np.ndarray], guests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, label, far, away, size, signature = home
+        g_ids, g_label, g_far, _, g_size, g_signature = guests
+        # Two members that are both away meet in either block; the smaller id visits.
+        fits = (g_label[:, None] != label) & (np.abs(g_far[:, None] - far) <= reach) & (~away | (g_ids[:, None] < ids)) & (
+            np.minimum(g_size[:, None], size) * 100 >= np.maximum(g_size[:, None], size) * percent)
+        x, y = np.nonzero(fits)
+        matches = np.zeros(len(x), np.int64)
+        for step, least in enumerate(needed):
+            at = slice(step * BATCH, (step + 1) * BATCH)
+            matches += (g_signature[x, at] == signature[y, at]).sum(1)
+            alive = matches >= least
+            x, y, matches = x[alive], y[alive], matches[alive]
+        return np.minimum(g_ids[x], ids[y]), np.maximum(g_ids[x], ids[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def done():
-            found = compare(group[1], group[2], rows) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
-
+        group, home = None, None
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in range(10)]):
-                if row[:3] != group:
-                    if rows:
-                        yield done()
-                    group, rows = row[:3], []
-                rows.append(row[3:])
-        if rows:
-            yield done()
-
-    key = ["centre", "i", "j"]
-    return dealt.select(*key, "mine", "doc_id", "label", "far", "away", "signature", "packed").repartition(
-        *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+            centre, block = [batch.column(i).to_numpy() for i in (0, 1)]
+            turn = np.flatnonzero(np.concatenate([[True], (np.diff(centre) != 0) | (np.diff(block) != 0)]))
+            for begin, end in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
+                part = batch.slice(begin, end - begin)
+                rows = [part.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
+                rows.append(np.frombuffer(b"".join(part.column(8).to_pylist()), "<u2").reshape(-1, SIGNATURE))
+                resident = part.column(2).to_numpy(zero_copy_only=False)
+                here = [r[resident] for r in rows]
+                if group != (centre[begin], block[begin]):
+                    group, home = (centre[begin], block[begin]), here
+                elif resident.any():
+                    home = [np.concatenate(x) for x in zip(home, here)]
+                # Residents come first, so these are complete when a member that is away arrives among the others.
+                guests = [r[~resident] for r in rows]
+                for at in range(0, len(guests[0]), 256):
+                    a, b = compare(home, [g[at:at + 256] for g in guests])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    key = ["centre", "block"]
+    # A resident that is away meets the other residents as a guest of its own block.
+    inside = dealt.filter("resident and away").withColumn("resident", F.lit(False))
+    return dealt.unionAll(inside).select(*key, "resident", "doc_id", "label", "far", "away", "n_shingles", "signature").repartition(
+        *key).sortWithinPartitions(*key, F.desc("resident")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id", text="text") -> DataFrame:
