@@ -2,7 +2,8 @@
 
 
 def registry():
-    from . import analytics, governance, matching, text  # noqa: F401  (registration on import)
+    from . import analytics, governance, incremental, matching, text  # noqa: F401  (registration on import)
     from .base import ORACLES, QUERIES
 
+    incremental.finish()
     return dict(QUERIES), dict(ORACLES)
