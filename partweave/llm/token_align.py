@@ -6,7 +6,7 @@ which puts one there itself.  Each text is tokenised whole by both.  A byte offs
 1. Anchors: shared ends before a token of A and a token of B that both start with a space.  They cut a text into windows,
    a word each as a rule.  Windows that are equal by their tuples of ids are aligned once: a memo of bounded size holds
    the groups and links of a window.  Both the cut and the memo rely on shared ends only, so windows are independent.
-2. A text's links are counted by pair of ids, and the pairs of a block of texts (about 4 MB) share one list.  Only these
+2. A text's links are counted by pair of ids, and the pairs of a block of texts (about 1 MB) share one list.  Only these
    lists are shuffled for the counts over the corpus: a pair that stands in every text is one row a block.
 3. The counts come back to the blocks, each with the mark whether its count is the highest of its B id.
 
@@ -21,7 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from .bpe import SPLIT, byte_alphabet, slices
 from .common import materialise
 from .fingerprints import _powers, mixed
 
-BLOCK = 4_000_000
-MEMO = 150_000
+BLOCK = 1_000_000
+MEMO = 100_000
 #: The fast splitter of A recurses through white space; longer stretches go through the library that the file is for.
 LONG_SPACE = re.compile(r"\s{2000}")
 
@@ -49,17 +49,13 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec, letters = json.load(open(path_a, encoding="utf-8")), byte_alphabet()
         model = spec["model"]
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merged = [ranks[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
-        self.library = Tokenizer.from_file(path_a)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path_a = path_a
         # Where ids are merge ranks the ids can be found faster than by the library.
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if all(
             x < y for x, y in zip(merged, merged[1:])) else None
@@ -72,50 +68,70 @@ class Pair:
         self.b = [piece(i) for i in range(self.model.get_piece_size())]
         #: An id with the sign behind it, by twice the id plus one if it closes a group; A's ids first.
         self.names = [f"{i}{end}" for t, last in ((self.a, "|"), (self.b, ";")) for i in range(len(t)) for end in (",", last)]
+        self.every_byte = all(bytes([x]) in ranks for x in range(256))
+        self.random = mixed(np.arange(1, 1 + max(len(self.a), self.model.get_piece_size()), dtype=np.uint64))
         self.size_a, self.space_a = byte_table(self.a)
         self.size_b, self.space_b = byte_table(self.b)
         #: Groups as text and link codes of a window, by its ids.
         self.memo: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
-    def encode_a(self, text: str) -> list[int]:
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path_a)
+        found.encode_special_tokens = True
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    def encode_a(self, text: str) -> np.ndarray:
         if self.fast is None or LONG_SPACE.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
-    def tokens(self, text: str, ids_b: list[int]) -> tuple[list[int], list[int]] | None:
+    def tokens(self, text: str, ids_b: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides; None if one of them does not give the bytes back."""
         whole = " " + text
+        data = whole.encode()
+        if b"".join([self.b[i] for i in ids_b]) != data:
+            return None
         ids_a = self.encode_a(whole)
-        whole = whole.encode()
-        same = b"".join([self.a[i] for i in ids_a]) == whole and b"".join([self.b[i] for i in ids_b]) == whole
-        return (ids_a, ids_b) if same else None
+        # With a token for every byte a byte-level encoding gives its text back; else it is looked at.
+        if not self.every_byte and b"".join([self.a[i] for i in ids_a.tolist()]) != data:
+            return None
+        return ids_a.astype(np.int32), np.array(ids_b, np.int32)
 
-    def align(self, docs: list[tuple[list[int], list[int]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def align(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Groups of each document as text, link codes (A id, B id) of all documents, and the bounds between them."""
         if not docs:
             return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
-        a, b = [np.fromiter(chain.from_iterable(d[i] for d in docs), np.int64) for i in (0, 1)]
+        a, b = [np.concatenate([d[i] for d in docs]) for i in (0, 1)]
         bounds_a = np.cumsum([0] + [len(d[0]) for d in docs])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # Documents give the same bytes on both sides, so a document's end is a shared end too.
-        at = np.searchsorted(ends_a, ends_b)
-        shared_b = np.flatnonzero(ends_a[at] == ends_b)
-        shared_a = at[shared_b]
-        cut = np.isin(shared_a + 1, bounds_a[1:])
+        token_at = np.full(int(ends_a[-1]) + 1, -1, np.int32)
+        token_at[ends_a] = np.arange(len(a), dtype=np.int32)
+        at = token_at[ends_b]
+        shared_b = np.flatnonzero(at >= 0)
+        shared_a = at[shared_b].astype(np.int64)
+        closes = np.zeros(len(a), bool)
+        closes[bounds_a[1:] - 1] = True
+        cut = closes[shared_a]
         inner = ~cut
         cut[inner] = self.space_a[a[shared_a[inner] + 1]] & self.space_b[b[shared_b[inner] + 1]]
         cuts = np.flatnonzero(cut)
         stop_a, stop_b = shared_a[cuts] + 1, shared_b[cuts] + 1
         start_a, start_b = np.concatenate([[0], stop_a[:-1]]), np.concatenate([[0], stop_b[:-1]])
         # Windows with equal ids are one: first by a fingerprint, then by their ids.
-        print_of = ranges(a, start_a, stop_a) + mixed(ranges(b, start_b, stop_b) + np.uint64(1))
+        print_of = ranges(self.random[a], start_a, stop_a) + mixed(ranges(self.random[b], start_b, stop_b) + np.uint64(1))
         _, first, which = np.unique(print_of, return_index=True, return_inverse=True)
         same = equal_ranges(a, start_a, stop_a, first[which]) & equal_ranges(b, start_b, stop_b, first[which])
         for i in np.flatnonzero(~same).tolist():
             which[i], first = len(first), np.append(first, i)
         raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
         groups_in = np.diff(np.concatenate([[0], cuts + 1]))  # shared ends of a window
-        spelled, raw_codes = self.spelled(a, b, shared_a, shared_b), (a[shared_a] << 32 | b[shared_b]).astype("<i8").tobytes()
+        spelled, raw_codes = self.spelled(a, b, shared_a, shared_b), (a[shared_a].astype("<i8") << 32 | b[shared_b]).tobytes()
         name, known, memo, texts, codes = self.names.__getitem__, self.memo.get, self.memo, [], []
         bounds = [start_a[first], stop_a[first], start_b[first], stop_b[first], (cuts + 1 - groups_in)[first], (cuts + 1)[first]]
         for i, j, k, l, m, n in zip(*[x.tolist() for x in bounds]):
@@ -142,7 +158,7 @@ class Pair:
     def spelled(self, a: np.ndarray, b: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> list[int]:
         """The alignment as a row of ``names``: the A ids of a group, its B ids, and the next group."""
         in_a, in_b = np.diff(shared_a, prepend=-1), np.diff(shared_b, prepend=-1)
-        out, last_a, last_b = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a), bool), np.zeros(len(b), bool)
+        out, last_a, last_b = np.zeros(len(a) + len(b), np.int32), np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[shared_a] = last_b[shared_b] = True
         # A's ids stand behind the B ids of earlier groups, B's behind the A ids of their own group as well.
         out[np.arange(len(a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)] = 2 * a + last_a
@@ -150,10 +166,10 @@ class Pair:
         return out.tolist()
 
 
-def ranges(ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A fingerprint of each range of ids."""
-    powers, inverse = _powers(len(ids) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(1)) * powers[:len(ids)])])
+def ranges(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A fingerprint of each range of values."""
+    powers, inverse = _powers(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:len(values)])])
     return mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
 
 
@@ -162,9 +178,8 @@ def equal_ranges(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np
     size = stop - start
     same = size == size[other]
     fits = np.repeat(same, size)
-    place = np.arange(len(ids)) - np.repeat(start, size) + np.repeat(start[other], size)
-    differs = np.zeros(len(ids), bool)
-    differs[fits] = ids[fits] != ids[place[fits]]
+    place = np.arange(len(ids)) + np.repeat(start[other] - start, size)
+    differs = ids != ids[np.where(fits, place, 0)]
     return same & ~np.logical_or.reduceat(differs, start)
 
 
