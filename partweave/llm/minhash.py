@@ -4,7 +4,7 @@ A document is its set of distinct ``k``-word shingles.  Equal sets are one class
 signature rows put classes into buckets; a bucket never emits its pairs.  Its members meet its centre, the member that
 shares most bucket places, which in a group of copies is the original.  Members that this leaves outside the centre's
 component then meet the members of other components, block by block and by signature, unless their distances to the
-centre rule a link out; texts move only for the pairs that are left.  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
+centre rule a link out; texts move only to blocks in which a member has partners left.  So no pair of a bucket is left out: pairs inside a component are settled by transitivity.
 
 Verification compares 16 signature values at a time and drops a pair as soon as the posterior probability that its
 similarity reaches the threshold (uniform prior) falls under ``miss``; survivors are confirmed on their full sets.
@@ -31,6 +31,8 @@ from .suffix_dedup import packed_texts, _unpacked
 
 BANDS, ROWS, SIGNATURE, BATCH = 48, 6, 128, 16
 BLOCK = 256
+#: Shingles of residents that a task keeps unpacked.
+KEPT = 4_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -209,63 +211,124 @@ def link_classes(classes: DataFrame, docs: DataFrame, k: int, percent: int, miss
     # A member lives in one block of its centre; members away from the centre's component also visit the other blocks.
     sizes = spread.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = spread.join(sizes, "centre").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    places = F.when(F.col("away"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
-    dealt = member.withColumn("block", F.explode(places)).select(
-        "centre", "block", (F.col("block") == F.col("mine")).alias("resident"), "doc_id", "label", "far", "away").join(
-        facts.select("doc_id", "n_shingles", "signature"), "doc_id")
-    met = materialise(block_pairs(dealt, percent, miss).distinct())
-    return links.unionAll(exact(met).filter(linked).select("a", "b"))
+    home = materialise(member.join(facts.select("doc_id", "n_shingles", "signature"), "doc_id"))
+    columns = ["centre", "block", "resident", "doc_id", "label", "far", "away", "n_shingles", "signature"]
+    residents = home.withColumns({"block": F.col("mine"), "resident": F.lit(True)}).select(columns)
+    visits = home.filter("away").withColumns({
+        "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "resident": F.lit(False)}).select(columns)
+    # First by signature: who has a partner in which block.  Then only these bring their texts, to those blocks.
+    place = ["centre", "block"]
+    met = materialise(block_guests(residents.unionAll(visits), percent, miss))
+    here = residents.join(met.select(*place).distinct(), place, "left_semi").unionByName(
+        visits.join(met, [*place, "doc_id"], "left_semi"))
+    return links.unionAll(block_links(here.join(texts, "doc_id").select(*columns, "packed"), k, percent, miss))
+
+
+class Members:
+    """Columns of members of one block, by number: id, label, distance to the centre, away, size, signature, text."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.columns = [part.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
+        self.columns.append(np.frombuffer(b"".join(part.column(8).to_pylist()), "<u2").reshape(-1, SIGNATURE))
+        if part.num_columns > 9:
+            self.columns.append(np.array(part.column(9).to_pylist(), object))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, other: "Members") -> None:
+        self.columns = [np.concatenate(x) for x in zip(self.columns, other.columns)]
+
+
+def likely(home: Members, guests: Members, percent: int, needed: list[int], reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of guests and residents that may be linked though they are apart: their components differ, their sizes
+    allow a link, their distances to the centre differ by no more than a link can bridge (Jaccard distance is a metric),
+    and the sequential test passes.  Two members that are both away meet where the larger id lives."""
+    ids, label, far, away, size, signature = home.columns[:6]
+    g_ids, g_label, g_far, _, g_size, g_signature = guests.columns[:6]
+    fits = (g_label[:, None] != label) & (np.abs(g_far[:, None] - far) <= reach) & (~away | (g_ids[:, None] < ids)) & (
+        np.minimum(g_size[:, None], size) * 100 >= np.maximum(g_size[:, None], size) * percent)
+    x, y = np.nonzero(fits)
+    matches = np.zeros(len(x), np.int64)
+    for step, least in enumerate(needed):
+        at = slice(step * BATCH, (step + 1) * BATCH)
+        matches += (g_signature[x, at] == signature[y, at]).sum(1)
+        alive = matches >= least
+        x, y, matches = x[alive], y[alive], matches[alive]
+    return x, y
+
+
+def _by_block(dealt: DataFrame, visit, schema: str) -> DataFrame:
+    """``visit(place, residents, guests)`` for slices of the guests of each block; a task holds one block's residents."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, home, state = None, None, None
+        for batch in batches:
+            centre, block, resident = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
+            turn = np.flatnonzero(np.concatenate([[True], (np.diff(centre) != 0) | (np.diff(block) != 0) | (resident[1:] != resident[:-1])]))
+            for begin, end in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
+                if place != (centre[begin], block[begin]):
+                    place, home, state = (centre[begin], block[begin]), None, {}
+                if resident[begin]:  # residents come first
+                    part = Members(batch.slice(begin, end - begin))
+                    home = part if home is None else (home.add(part) or home)
+                elif home is not None:
+                    for at in range(begin, end, 256):
+                        yield visit(place, home, Members(batch.slice(at, min(256, end - at))), state)
+
+    key = ["centre", "block"]
+    return dealt.repartition(*key).sortWithinPartitions(*key, F.desc("resident")).mapInArrow(run, schema)
 
-def block_pairs(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
-    """(a, b) of members of a centre that may be linked though they are apart: ids and signatures only.
 
-    A task holds the residents of one block, and a slice of its visitors at a time.  Pairs are tried if their components
-    differ, their sizes allow a link and their distances to the centre differ by no more than a link can bridge (Jaccard
-    distance is a metric); then the sequential test decides."""
+def block_guests(dealt: DataFrame, percent: int, miss: float) -> DataFrame:
+    """(centre, block, doc_id) of the guests with a likely partner in the block: ids and signatures only."""
     needed, reach = least_matches(percent, miss), 1 - percent / 100 + 1e-9
 
-    def compare(home: list[np.ndarray], guests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        ids, label, far, away, size, signature = home
-        g_ids, g_label, g_far, _, g_size, g_signature = guests
-        # Two members that are both away meet in either block; the smaller id visits.
-        fits = (g_label[:, None] != label) & (np.abs(g_far[:, None] - far) <= reach) & (~away | (g_ids[:, None] < ids)) & (
-            np.minimum(g_size[:, None], size) * 100 >= np.maximum(g_size[:, None], size) * percent)
-        x, y = np.nonzero(fits)
-        matches = np.zeros(len(x), np.int64)
-        for step, least in enumerate(needed):
-            at = slice(step * BATCH, (step + 1) * BATCH)
-            matches += (g_signature[x, at] == signature[y, at]).sum(1)
-            alive = matches >= least
-            x, y, matches = x[alive], y[alive], matches[alive]
-        return np.minimum(g_ids[x], ids[y]), np.maximum(g_ids[x], ids[y])
+    def visit(place, home: Members, guests: Members, _) -> pa.RecordBatch:
+        found = guests.columns[0][np.unique(likely(home, guests, percent, needed, reach)[0])]
+        return pa.RecordBatch.from_arrays([*[pa.array(np.full(len(found), p), t) for p, t in zip(place, (pa.int64(), pa.int32()))], pa.array(
+            found, pa.int64())], names=["centre", "block", "doc_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, home = None, None
-        for batch in batches:
-            centre, block = [batch.column(i).to_numpy() for i in (0, 1)]
-            turn = np.flatnonzero(np.concatenate([[True], (np.diff(centre) != 0) | (np.diff(block) != 0)]))
-            for begin, end in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
-                part = batch.slice(begin, end - begin)
-                rows = [part.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
-                rows.append(np.frombuffer(b"".join(part.column(8).to_pylist()), "<u2").reshape(-1, SIGNATURE))
-                resident = part.column(2).to_numpy(zero_copy_only=False)
-                here = [r[resident] for r in rows]
-                if group != (centre[begin], block[begin]):
-                    group, home = (centre[begin], block[begin]), here
-                elif resident.any():
-                    home = [np.concatenate(x) for x in zip(home, here)]
-                # Residents come first, so these are complete when a member that is away arrives among the others.
-                guests = [r[~resident] for r in rows]
-                for at in range(0, len(guests[0]), 256):
-                    a, b = compare(home, [g[at:at + 256] for g in guests])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _by_block(dealt, visit, "centre long, block int, doc_id long")
 
-    key = ["centre", "block"]
-    # A resident that is away meets the other residents as a guest of its own block.
-    inside = dealt.filter("resident and away").withColumn("resident", F.lit(False))
-    return dealt.unionAll(inside).select(*key, "resident", "doc_id", "label", "far", "away", "n_shingles", "signature").repartition(
-        *key).sortWithinPartitions(*key, F.desc("resident")).mapInArrow(run, "a long, b long")
+
+def block_links(dealt: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """(a, b) links between guests and residents, decided on their full sets.  Pairs that links of this block have joined
+    already are settled, so a block gives no more links than it has members."""
+    needed, reach = least_matches(percent, miss), 1 - percent / 100 + 1e-9
+
+    def shingles(packed: bytes) -> np.ndarray:
+        data = np.frombuffer(_unpacked(packed), np.uint8)
+        return shingle_sets(data, np.array([0, len(data)]), k)[1]
+
+    def visit(place, home: Members, guests: Members, state: dict) -> pa.RecordBatch:
+        parent, sets = state.setdefault("parent", {}), state.setdefault("sets", {})
+
+        def root(label: int) -> int:
+            while parent.get(label, label) != label:
+                label = parent[label]
+            return label
+
+        out, current, mine = [], -1, None
+        x, y = likely(home, guests, percent, needed, reach)
+        for i, j in zip(x.tolist(), y.tolist()):
+            one, two = root(int(guests.columns[1][i])), root(int(home.columns[1][j]))
+            if one == two:
+                continue
+            if i != current:
+                current, mine = i, shingles(guests.columns[6][i])
+            if j not in sets:
+                if sum(map(len, sets.values())) > KEPT:
+                    sets.clear()
+                sets[j] = shingles(home.columns[6][j])
+            other = sets[j]
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            if both and 100 * both >= percent * (len(mine) + len(other) - both):
+                parent[max(one, two)] = min(one, two)
+                out.append((int(guests.columns[0][i]), int(home.columns[0][j])))
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return _by_block(dealt, visit, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id", text="text") -> DataFrame:

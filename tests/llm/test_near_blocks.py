@@ -32,27 +32,30 @@ def test_drifting_copies(spark, monkeypatch, block):
     assert got == want and 3 <= len({c for _, c in want.values()}) < 60
 
 
-def test_texts_do_not_move_with_the_blocks(spark, monkeypatch):
-    """What the block step deals out: ids and signatures, each member once and members that are away once a block."""
-    dealt = []
-    real = minhash.block_pairs
-
-    def spy(rows, percent, miss):
-        dealt.append((rows.columns, rows.count(), rows.select("centre", "doc_id").distinct().count(),
-                      rows.filter("away and not resident").count()))
-        return real(rows, percent, miss)
-
-    monkeypatch.setattr(minhash, "block_pairs", spy)
-    for n in (1500,):
-        draw = random.Random(n)
-        base = [f"w{i}" for i in range(80)]
-        rows = [(0, " ".join(base))]
-        for i in range(1, n):
-            text = list(base)
-            for _ in range(draw.choice([1, 2, 2, 3, 9])):
-                text[draw.randrange(80)] = f"x{i}_{draw.randrange(1000)}"
-            rows.append((i, " ".join(text)))
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-        assert minhash.near_duplicates(docs, k=2).filter("not kept").count() > 0.5 * n
-    assert all("packed" not in columns for columns, *_ in dealt)
-    assert all(count == members + visits for _, count, members, visits in dealt)
+def test_blocks_deal_signatures_before_texts(spark, monkeypatch):
+    """Residents are dealt once and members that are away once a block, without texts; texts only follow partners."""
+    dealt = {}
+
+    def spy(name, real):
+        def call(rows, *rest):
+            dealt[name] = (rows.columns, rows.count(), rows.filter("resident").select("centre", "doc_id").distinct().count(),
+                           rows.filter("not resident").count())
+            return real(rows, *rest)
+        return call
+
+    for name in ("block_guests", "block_links"):
+        monkeypatch.setattr(minhash, name, spy(name, getattr(minhash, name)))
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    draw = random.Random(5)
+    base, rows = [f"w{i}" for i in range(80)], []
+    for i in range(600):
+        text = list(base)
+        for _ in range(0 if i == 0 else draw.choice([1, 2, 2, 3, 9])):
+            text[draw.randrange(80)] = f"x{i}_{draw.randrange(1000)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, k=2).collect()}
+    assert got == plain_components(dict(rows), 2, 80)
+    columns, count, members, visits = dealt["block_guests"]
+    assert "packed" not in columns and count == members + visits
+    assert "packed" in dealt["block_links"][0] and dealt["block_links"][3] <= visits
