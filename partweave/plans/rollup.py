@@ -41,7 +41,7 @@ def record_cells() -> Column:
     known = family.isNotNull()
     classified = family != "UNCLASSIFIED"
     cells = [
-        _cell("records"), _cell("org_records", org), _cell("org", member=org), _cell("normalized", when=known),
+        _cell("records"), _cell("org_records", org), _cell("org", member=org, when=org.isNotNull()), _cell("normalized", when=known),
         _cell("family_records", family, when=known), _cell("mapped", when=mapped), _cell("family_mapped", family, when=mapped),
         _cell("org_mapped", org, when=mapped), _cell("insufficient", when=F.size("missing_required") > 0),
         _cell("unclassified", when=family == "UNCLASSIFIED"), _cell("classified", when=~family.isin("UNCLASSIFIED", "PENDING")),
@@ -51,7 +51,7 @@ def record_cells() -> Column:
         _cell("org_completeness", org, value=F.col("completeness")),
         _cell("org_completeness_rows", org, when=F.col("completeness").isNotNull()),
         _cell("codes", code, when=mapped), _cell("qty", code, value=F.col("qty"), when=mapped),
-        _cell("spend", code, value=F.col("price") * F.col("qty"), when=mapped), _cell("code_org", code, org, when=mapped),
+        _cell("spend", code, value=F.col("price") * F.col("qty"), when=mapped), _cell("code_org", code, org, when=mapped & org.isNotNull()),
         _cell("code_price", code, F.col("price"), when=mapped & F.col("price").isNotNull())]
     flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: _cell(
         "flag", F.split_part(f, F.lit(":"), F.lit(1))))
