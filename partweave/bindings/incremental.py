@@ -36,7 +36,7 @@ def _folder(spark, name: str) -> str:
 @query("s7_key_index", oracle("""SELECT description AS key, min(rg) AS batch FROM raw GROUP BY description"""))
 def s7(spark, d):
     """Descriptions by the batch (organisation) that brought them first; only new keys pass each batch."""
-    raw = Domain(spark, d).raw.select(F.col("description").alias("key"), "rg")
+    raw = cut_lineage(Domain(spark, d).raw.select(F.col("description").alias("key"), "rg"))
     index, found = KeyIndex(spark, _folder(spark, "keys"), "key", buckets=16), []
     for rg in range(5):
         batch = raw.filter(F.col("rg") == rg).select("key").distinct()
@@ -51,7 +51,7 @@ def s7(spark, d):
   status IN ('PENDING', 'NEEDS_INFO') AS open FROM recs)"""))
 def s8(spark, d):
     """Pairs of a first run, then those of a second run with other scores: open and unknown pairs take them."""
-    recs = Domain(spark, d).recs.select("pair_key", "match_type", "raw_score", "status", "pk")
+    recs = cut_lineage(Domain(spark, d).recs.select("pair_key", "match_type", "raw_score", "status", "pk"))
     kept = BucketedTable(spark, _folder(spark, "pairs"), "pair_key", buckets=16)
     kept.upsert(recs.filter("pk % 7 <> 3").drop("pk"))
     second = recs.filter("pk % 7 in (3, 4)").select("pair_key", "match_type", (F.col("raw_score") / 2).alias("raw_score"))
@@ -91,7 +91,7 @@ def k7_prefix(spark, d):
   PARTITION BY pk ORDER BY rg) AS island FROM raw)) WHERE n > 1"""))
 def g8(spark, d):
     """Groups of records after four batches of links; the third and fourth merge groups of the first two."""
-    recs = Domain(spark, d).recs.select("a_record_id", "b_record_id", "rg")
+    recs = cut_lineage(Domain(spark, d).recs.select("a_record_id", "b_record_id", "rg"))
     groups = GroupTable(spark, _folder(spark, "groups"), buckets=16)
     for rg in (0, 2, 1, 3):
         groups.add(recs.filter(F.col("rg") == rg), "a_record_id", "b_record_id")
