@@ -165,9 +165,11 @@ def encoder(path: str) -> PrefixEncoder:
 
 
 def encode_documents(docs: DataFrame, path: str, text="text", ids="ids", decoded: str | None = None) -> DataFrame:
-    """Add ``ids`` (binary, little-endian unsigned 32-bit) and, on request, the text decoded from them.
+    """Add ``ids`` (binary, little-endian unsigned 32-bit) and, on request, the text decoded from them; a column that
+    has one of these names already is replaced.
 
     Narrow: no shuffle; a worker holds one Arrow batch, its vocabulary and two bounded caches."""
+    docs = docs.drop(*[c for c in (ids, decoded) if c])
     at = docs.columns.index(text)
     extra = [T.StructField(ids, T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 

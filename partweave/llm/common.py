@@ -31,5 +31,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(rows: DataFrame) -> DataFrame:
+    """``rows`` as one column ``row``: whatever is joined to it clashes with none of their names."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+
+
+def cell(name: str) -> Column:
+    return F.col(f"row.`{name}`")
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The ``columns`` of the boxed rows, those in ``changed`` with a new value; further ones in ``changed`` follow."""
+    given = {name.lower(): value for name, value in changed.items()}
+    kept = [given.pop(c.lower(), cell(c)).alias(c) for c in columns]
+    return rows.select(*kept, *[value.alias(name) for name, value in changed.items() if name.lower() in given])
+
+
 def documents_of(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

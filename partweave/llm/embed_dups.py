@@ -7,11 +7,12 @@ is counted only in the list of its two first shared pivots.
 
 Equal vectors are one class with a weight.  A list longer than ``block`` is dealt into blocks and compared as pairs of
 blocks in tasks of their own.  A list yields one count for each member and links that span its components, never its
-pairs.  Fitted on a sample: the pivots are ``pivots`` vectors, those of least hash of their id; every vector is indexed.
+pairs.  Fitted on a sample: the pivots are ``pivots`` vectors of each dimension, those of least hash of their id; every
+vector is indexed by the pivots of its dimension.
 
-Defined results: vectors that are null, empty, zero, of another dimension than the pivots, or that hold null or
-non-finite components, and vectors whose label is null, are linked with nothing; repeated rows with ids of their own
-are linked; links at exactly the threshold count; ids must be unique; extra columns are not read; an empty table gives
+Defined results: vectors that are null, empty or zero, or that hold null or non-finite components, and vectors whose
+label is null, are linked with nothing; vectors of different dimensions are never linked; repeated rows with ids of
+their own are linked; links at exactly the threshold count; ids must be unique; extra columns are not read; an empty table gives
 an empty table.
 """
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -28,25 +29,30 @@ from .common import materialise
 
 
 def usable_vectors(rows: DataFrame, vec_id="vec_id", vector="embedding", label="label") -> DataFrame:
-    """(label, vector, vec_id, weight): classes of equal usable vectors, named by their least id."""
+    """(label, vector, vec_id, weight): classes of equal usable vectors, named by their least id.
+
+    ``label`` holds the dimension too, as vectors of different ones are never compared."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         rows.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
-        .select(F.col(label).cast("string").alias("label"), v.alias("vector"), F.col(vec_id).cast("long").alias("vec_id"))
+        .select(_sized_label(label, vector), v.alias("vector"), F.col(vec_id).cast("long").alias("vec_id"))
         .filter(finite & F.exists("vector", lambda x: x != 0.0))
         .groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"))
     )
 
 
-def choose_pivots(classes: DataFrame, pivots: int) -> np.ndarray:
-    """``pivots`` unit vectors of one dimension at most; the driver holds nothing else."""
-    rows = classes.select("vector", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    sizes = [len(r["vector"]) for r in rows]
-    dim = max(set(sizes), key=lambda d: (sizes.count(d), d))
-    return _unit(np.array([r["vector"] for r in rows if len(r["vector"]) == dim]))
+def _sized_label(label: str, vector: str):
+    return F.concat_ws(":", F.size(F.col(vector)).cast("string"), F.col(label).cast("string")).alias("label")
+
+
+def choose_pivots(classes: DataFrame, pivots: int) -> dict[int, np.ndarray]:
+    """For each dimension ``pivots`` unit vectors at most; the driver holds nothing else.  The limit in each dimension is
+    taken in every partition before rows move."""
+    order = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    rows = classes.select(F.size("vector").alias("dim"), "vector", "vec_id").withColumn(
+        "nth", F.row_number().over(order)).filter(F.col("nth") <= pivots).orderBy("dim", "nth").collect()
+    return {d: _unit(np.array([r["vector"] for r in rows if r["dim"] == d])) for d in sorted({r["dim"] for r in rows})}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,18 +60,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def described(classes: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """Add ``pivots``: the nearest pivots in order of closeness, ties by number."""
-    dim, top = pivots.shape[1], min(nearest, len(pivots))
+def described(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
+    """Add ``pivots``: the nearest pivots of the vector's dimension in order of closeness, ties by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.array(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array(sizes == dim))
-            for begin in range(0, batch.num_rows, 4096):
-                part = batch.slice(begin, 4096)
+            parts = ((dim, same.slice(begin, 4096)) for dim in np.unique(sizes).tolist()
+                     for same in [batch.filter(pa.array(sizes == dim))] for begin in range(0, same.num_rows, 4096))
+            for dim, part in parts:
                 x = part.column(1).flatten().to_numpy().reshape(-1, dim)
-                near = np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :top].astype(np.int32)
+                near = np.argsort(-(_unit(x) @ pivots[dim].T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(list(near), pa.list_(pa.int32()))],
                     names=["label", "vector", "vec_id", "weight", "pivots"])
@@ -159,7 +164,7 @@ def near_duplicate_vectors(rows: DataFrame, threshold=0.93, pivots=256, nearest=
                            vector="embedding", label="label") -> DataFrame:
     """One row per vector: n_links, component_id (least id reachable by links) and kept."""
     classes = materialise(usable_vectors(rows, vec_id, vector, label))
-    every = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"),
+    every = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.col(label).isNotNull(), _sized_label(label, vector)).alias("label"),
                         F.transform(F.col(vector), lambda x: x.cast("double")).alias("vector"))
     points = choose_pivots(classes, pivots)
     if not len(points):

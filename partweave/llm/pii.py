@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, cell, unboxed
 from .fingerprints import byte_chunks
 
 #: Fixed values of the contract.
@@ -312,10 +313,10 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask_pii(docs: DataFrame, doc_id="doc_id", text="text", **options) -> DataFrame:
     """``docs`` with personal data masked; texts without any stay as they are."""
-    changed = pii_spans(docs, doc_id, text, masked="_masked", **options).filter("_masked is not null").select(
-        F.col("doc_id").alias("_id"), "_masked")
-    return docs.join(changed, F.col(doc_id) == F.col("_id"), "left").withColumn(
-        text, F.coalesce("_masked", F.col(text))).select(docs.columns)
+    changed = pii_spans(docs, doc_id, text, masked="masked", **options).filter("masked is not null").select(
+        "doc_id", "masked")
+    return unboxed(boxed(docs).join(changed, cell(doc_id) == F.col("doc_id"), "left"), docs.columns, **{
+        text: F.coalesce("masked", cell(text))})
 
 
 def span_text(spans: Column) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialise
+from .common import SPACE, boxed, cell, let, materialise, unboxed
 
 #: Fixed values of the contract.
 SYMBOLS = "[#*$%&|<>]"
@@ -141,11 +141,8 @@ def quality_filter(docs: DataFrame, doc_id="doc_id", text="text", host="source",
     A text without such lines stays as it is, byte for byte."""
     # Written first: the optimiser would push the filter into the rules and evaluate them again inside it.
     verdicts = materialise(quality_verdicts(docs, doc_id, text, host, min_docs, max_share, min_left))
-    kept = verdicts.filter("kept").select(F.col("doc_id").alias("_id"), F.col("removed_lines").alias("_gone"))
-    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda l: ~F.array_contains(
-        "_gone", F.xxhash64(normalised_line(l))) | ~l.rlike(f"[^{SPACE}]")), "\n")
-    return (
-        docs.join(kept, F.col(doc_id) == F.col("_id"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned))
-        .select(docs.columns)
-    )
+    kept = verdicts.filter("kept").select("doc_id", F.col("removed_lines").alias("gone"))
+    cleaned = F.array_join(F.filter(F.split(cell(text), "\n"), lambda l: ~F.array_contains(
+        "gone", F.xxhash64(normalised_line(l))) | ~l.rlike(f"[^{SPACE}]")), "\n")
+    return unboxed(boxed(docs).join(kept, cell(doc_id) == F.col("doc_id")), docs.columns, **{
+        text: F.when(F.col("gone").isNull(), cell(text)).otherwise(cleaned)})

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import boxed, cell, materialise, unboxed
 from .fingerprints import Prefixes, byte_chunks, mixed, sliding_min
 
 CHUNK = 1 << 20
@@ -226,8 +226,8 @@ def dedup_substrings(docs: DataFrame, width=200, doc_id="doc_id", text="text", w
 def without_repeats(docs: DataFrame, width=200, doc_id="doc_id", text="text") -> DataFrame:
     """``docs`` with the repeats cut out of the text; bytes of a character that a cut has split go with the cut."""
     kept = dedup_substrings(docs, width, doc_id, text, with_kept=True).filter("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    whole = F.expr("try_validate_utf8(cast(_kept as string))")
-    cut = F.regexp_replace(F.expr("make_valid_utf8(cast(_kept as string))"), "\\uFFFD", "")
-    return docs.join(kept, F.col(doc_id) == F.col("_id"), "left").withColumn(
-        text, F.when(F.col("_id").isNull(), F.col(text)).otherwise(F.coalesce(whole, cut))).select(docs.columns)
+        "doc_id", "kept")
+    whole = F.expr("try_validate_utf8(cast(kept as string))")
+    cut = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\\uFFFD", "")
+    return unboxed(boxed(docs).join(kept, cell(doc_id) == F.col("doc_id"), "left"), docs.columns, **{
+        text: F.when(F.col("doc_id").isNull(), cell(text)).otherwise(F.coalesce(whole, cut))})

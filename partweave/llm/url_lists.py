@@ -9,7 +9,7 @@ fetched and no ``allow`` list is.
 
 Defined results: a null, empty or unparsable URL has no keys and is allowed; a null fetch time is judged against no
 entry; null event times, keys and actions are ignored; repeated captures are judged one by one; extra columns are
-kept; empty lists allow everything.
+kept unless an output has their name; empty lists allow everything.
 """
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import boxed, cell, unboxed
+
 FAR = "9999-12-31"
 
 
@@ -60,7 +62,8 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
 def url_verdicts(captures: DataFrame, events: DataFrame, lists: dict[str, str], capture_id="page_id", url="url",
                  fetched="fetched_at") -> DataFrame:
-    """One row per capture: host, the active block and allow entries, and ``allowed``.
+    """One row per capture: host, the active block and allow entries, and ``allowed``; a column of the captures with one
+    of these names is replaced.
 
     ``lists`` maps list ids to ``block`` or ``allow``.  The as-of join is an equality join on the key with the fetch
     time inside the interval: intervals of one list and key never overlap, so each capture key meets at most one per
@@ -69,9 +72,11 @@ def url_verdicts(captures: DataFrame, events: DataFrame, lists: dict[str, str],
     for list_id, name in lists.items():
         role = F.when(F.col("list_id") == list_id, name).otherwise(role)
     spans = validity_intervals(events).withColumn("role", role)
-    keys = capture_keys(F.col("_host"), F.coalesce(path_of(F.col(url)), F.lit("")))
-    placed = captures.withColumn("_host", F.coalesce(host_of(F.col(url)), F.lit(""))).select(
-        F.col(capture_id).alias("_id"), F.col(fetched).alias("_at"), F.explode(F.array_distinct(keys)).alias("key"))
+    keys = capture_keys(F.col("_host"), F.col("_path"))
+    placed = captures.select(
+        F.col(capture_id).alias("_id"), F.col(fetched).alias("_at"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("_host"),
+        F.coalesce(path_of(F.col(url)), F.lit("")).alias("_path")).select(
+        "_id", "_at", F.explode(F.array_distinct(keys)).alias("key"))
     hits = (
         placed.join(spans, "key").filter((F.col("_at") >= F.col("valid_from")) & (F.col("_at") < F.col("valid_to")))
         .groupBy("_id").agg(
@@ -79,10 +84,8 @@ def url_verdicts(captures: DataFrame, events: DataFrame, lists: dict[str, str],
             F.array_sort(F.collect_set(F.when(F.col("role") == "allow", F.concat_ws("|", "list_id", "key")))).alias("allowed_by"))
     )
     none = F.expr("cast(array() as array<string>)")
-    return (
-        captures.withColumn("host", F.coalesce(host_of(F.col(url)), F.lit("")))
-        .join(hits, F.col(capture_id) == F.col("_id"), "left").drop("_id")
-        .withColumn("blocked_by", F.array_join(F.coalesce("blocked_by", none), ","))
-        .withColumn("allowed_by", F.array_join(F.coalesce("allowed_by", none), ","))
-        .withColumn("allowed", (F.col("blocked_by") == "") | (F.col("allowed_by") != ""))
-    )
+    blocked, allowed = [F.array_join(F.coalesce(c, none), ",") for c in ("blocked_by", "allowed_by")]
+    return unboxed(
+        boxed(captures).join(hits, cell(capture_id) == F.col("_id"), "left"), captures.columns,
+        host=F.coalesce(host_of(cell(url)), F.lit("")), blocked_by=blocked, allowed_by=allowed,
+        allowed=(blocked == "") | (allowed != ""))
