@@ -147,11 +147,14 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
 
     Approved pairs and active mappings form a graph; a component with two canonicals is a conflict and none of its
     approvals is applied.  A component without one joins an approved canonical of the same template code (unless a
-    steward edited attributes), otherwise it founds one; components that arrive at the same new code share it."""
+    steward edited attributes), otherwise it founds one; components that arrive at the same new code share it.
+
+    ``records`` is read several times and should be a written table.  The results are in the checkpoint folder, so the
+    plans of successive batches do not stack."""
     when = F.lit(at).cast("timestamp")
-    checked = validate_decisions(decisions, recommendations)
+    checked = cut_lineage(validate_decisions(decisions, recommendations))
     ends = recommendations.select("pair_key", "a_record_id", "b_record_id", "category", "match_type", "final_score")
-    approved = checked.filter("outcome = 'APPROVED'").join(ends, "pair_key")
+    approved = cut_lineage(checked.filter("outcome = 'APPROVED'").join(ends, "pair_key"))
     active = mappings.filter("status = 'ACTIVE'").select("record_id", F.col("cnmc").alias("_code"))
 
     touched = approved.select(F.explode(F.array("a_record_id", "b_record_id")).alias("record_id")).distinct()
@@ -183,7 +186,7 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
             F.col("attributes"), F.coalesce("edit_attributes", F.create_map().cast(MAP_TYPE)))).otherwise(
             F.col("attributes"))).withColumn("code", template_code(F.col("category"), F.col("attributes")))
     standing = canonical.filter("status = 'APPROVED'").select(F.col("cnmc").alias("code"), F.lit(True).alias("_hit"))
-    merged = merged.join(standing, "code", "left")
+    merged = cut_lineage(merged.join(standing, "code", "left"))
     joins = merged.filter("_hit and not edited").select("component", F.col("code").alias("cnmc"))
     founding = merged.filter("_hit is null or edited")
     # components with the same unedited code share one new canonical, founded by the smallest component
@@ -192,7 +195,7 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
         F.min("component").alias("founder"),
         F.min_by(F.struct("category", "attributes", "base_uom", "edit_description"), "component").alias("f"))
     founders = unique_codes(founders.withColumnRenamed("founder", "component"), canonical.select("cnmc"))
-    founders = founders.select("component", "code", "_share", "cnmc", "f.*")
+    founders = cut_lineage(founders.select("component", "code", "_share", "cnmc", "f.*"))
     created_for = lead.select("component", "code", "_share").join(
         founders.select("code", "_share", "cnmc"), ["code", "_share"]).select("component", "cnmc")
     target = owner.filter("n_owners = 1").select("component", F.col("owner").alias("cnmc")).unionByName(joins).unionByName(
@@ -200,7 +203,7 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
     conflict = owner.filter("n_owners > 1").select("component", F.lit(True).alias("_conflict"))
 
     new_canonical = _found(founders, canonical, when)
-    resolved = member.join(target, "component")
+    resolved = cut_lineage(member.join(target, "component"))
     deciding = approved.select("pair_key", "match_type", "final_score", F.explode(
         F.array("a_record_id", "b_record_id")).alias("record_id")).groupBy("record_id").agg(
         F.min_by(F.struct("match_type", "final_score"), "pair_key").alias("d"))
@@ -209,7 +212,7 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
         "record_id", "cnmc", "org", "legacy_code", F.col("d.match_type").alias("match_type"),
         F.col("d.final_score").alias("confidence"), F.lit("ACTIVE").alias("status"), when.alias("created_at"),
         F.lit(None).cast("timestamp").alias("reversed_at"), F.lit(None).cast("string").alias("reversal_reason"))
-    mappings_after = mappings.unionByName(fresh)
+    mappings_after = cut_lineage(mappings.unionByName(fresh))
 
     retitled = pair_comp.filter("action = 'EDIT' and edit_description is not null").join(
         owner.filter("n_owners = 1"), "component").groupBy(F.col("owner").alias("cnmc")).agg(
@@ -219,7 +222,8 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
         "version": F.col("version") + F.when(F.col("_title").isNotNull(), 1).otherwise(0),
         "updated_at": F.when(F.col("_title").isNotNull(), when).otherwise(F.col("updated_at")),
     }).drop("_title").unionByName(new_canonical)
-    canonical_after = refresh_values(canonical_after, mappings_after, records, resolved.select("cnmc").distinct(), when)
+    canonical_after = cut_lineage(
+        refresh_values(canonical_after, mappings_after, records, resolved.select("cnmc").distinct(), when))
 
     outcomes = checked.join(ends.select("pair_key", "a_record_id"), "pair_key", "left").join(
         member.withColumnRenamed("record_id", "a_record_id"), "a_record_id", "left").join(
@@ -231,7 +235,8 @@ def apply_decisions(decisions: DataFrame, recommendations: DataFrame, records: D
         F.when(clash, F.lit("Both records are already mapped to different canonical materials"))
         .otherwise(F.col("error")).alias("error"),
         F.when((F.col("outcome") == "APPROVED") & ~clash, F.col("cnmc")).alias("cnmc"))
-    recs_after = close_recommendations(recommendations, outcomes, mappings_after, canonical_after)
+    outcomes = cut_lineage(outcomes)
+    recs_after = cut_lineage(close_recommendations(recommendations, outcomes, mappings_after, canonical_after))
     return Applied(outcomes, canonical_after, mappings_after, recs_after)
 
 
