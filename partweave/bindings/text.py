@@ -10,11 +10,10 @@ from ..functions.expr import code_number, half_up, num_to_text
 from ..functions.uom import iso_unit, normalize_uom, to_base_quantity, uom_compatibility
 from ..operators import embed
 from ..operators.classify import classify
-from ..operators.describe import canonical_description, template_code
+from ..operators.describe import template_code
 from ..operators.extract import explode_attributes, value_num, value_text
-from ..operators.process import process_records, with_proposed_description
+from ..operators.process import process_distinct, with_proposed_description
 from ..plans import quality
-from ..session import cut_lineage
 from .base import Domain, oracle, query, table
 
 # --------------------------------------------------------------------------------------------------- free text
@@ -203,10 +202,12 @@ _PROCESSED: dict = {}
 
 
 def _processed(spark, d):
-    """The processed records of a directory, written once per session: filters of the queries stop at this boundary."""
+    """The processed records of a directory, with template code.  Each distinct record is processed
+    and written once per session: filters of the queries stop at this boundary, and the rows are joined to it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PROCESSED:
-        _PROCESSED[key] = cut_lineage(process_records(Domain(spark, d).inputs()))
+        _PROCESSED[key] = process_distinct(Domain(spark, d).inputs(), lambda df: df.withColumn(
+            "template_code", template_code(F.col("category"), F.col("attributes"))))
     return _PROCESSED[key]
 
 
@@ -335,7 +336,7 @@ def e11(spark, d):
   WHEN 'PUMP' THEN concat('IN-MAT-PMP-CENT-', flow, 'M3H-', head, 'M-', kw, 'KW', CASE WHEN encl = 'FLP' THEN '-FLP' ELSE '' END) END
   AS code FROM raw"""))
 def g3(spark, d):
-    return _processed(spark, d).select("record_id", template_code(F.col("category"), F.col("attributes")).alias("code"))
+    return _processed(spark, d).select("record_id", F.col("template_code").alias("code"))
 
 
 @query("e12_proposed_description", oracle("""SELECT record_id, CASE family

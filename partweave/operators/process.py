@@ -1,6 +1,8 @@
 """Record processing: normalise -> classify -> re-normalise with family terms -> extract -> units -> flags."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions.text import clean_text, normalize_cleaned, semantic_tokens
 from ..functions.uom import normalize_uom
 from .classify import classify
 from .describe import canonical_description
+from .distinct import computed_once, with_computed
 from .extract import (blocking_key, completeness, expected_dimension, extract_attributes, fingerprint,
                       missing_required)
 
@@ -79,6 +82,16 @@ def process_records(raw: DataFrame, dictionary=None, schemas=None, uom_master=No
     )
 
 
+def process_distinct(raw: DataFrame, also: Callable[[DataFrame], DataFrame] = lambda df: df, **masters_) -> DataFrame:
+    """The rows of ``process_records``, each combination of texts, unit and maker processed once (see ``distinct``).
+
+    Of the part number only its presence counts.  ``also`` may add more columns that the processed ones decide."""
+    given = F.when(F.length(F.trim(F.coalesce("part_number", F.lit("")))) > 0, F.lit("given"))
+    values = ["description", "long_text", "uom", "manufacturer", "part_number"]
+    found = computed_once(raw.withColumn("part_number", given), values, lambda df: also(process_records(df, **masters_)))
+    return with_computed(raw, [*values[:-1], given], found)
+
+
 def with_proposed_description(records: DataFrame) -> DataFrame:
     """E12 - template description for classified, complete records."""
     ready = (F.col("category") != masters.UNCLASSIFIED) & (F.size("missing_required") == 0)
