@@ -202,11 +202,11 @@ _PROCESSED: dict = {}
 
 
 def _processed(spark, d):
-    """The processed records of a directory, with template code.  Each distinct record is processed
+    """The processed records of a directory, with template code and proposed description.  Each distinct record is processed
     and written once per session: filters of the queries stop at this boundary, and the rows are joined to it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PROCESSED:
-        _PROCESSED[key] = process_distinct(Domain(spark, d).inputs(), lambda df: df.withColumn(
+        _PROCESSED[key] = process_distinct(Domain(spark, d).inputs(), lambda df: with_proposed_description(df).withColumn(
             "template_code", template_code(F.col("category"), F.col("attributes"))))
     return _PROCESSED[key]
 
@@ -353,8 +353,7 @@ def g3(spark, d):
     WHEN 'CS-WCB' THEN 'ASTM A216 WCB' WHEN 'CS-WCC' THEN 'ASTM A216 WCC' WHEN 'CS-A105' THEN 'ASTM A105' ELSE 'SS316 (CF8M)' END,
     ', FLANGED RF') END END AS description FROM raw"""))
 def e12(spark, d):
-    return with_proposed_description(_processed(spark, d)).select(
-        "record_id", F.col("proposed_description").alias("description"))
+    return _processed(spark, d).select("record_id", F.col("proposed_description").alias("description"))
 
 
 @query("p3_matchable", oracle("SELECT record_id FROM raw WHERE family <> 'UNCLASSIFIED'"))
