@@ -68,8 +68,8 @@ def _norm_sql(alias="norm"):
       FROM raw)"""
 
 
-def light_norm(x: Domain):
-    """Normalised columns without text processing, for the relational analytics: family and unit flags."""
+def light_norm(x: Domain, *more: str):
+    """Normalised columns without text processing, for the relational analytics: family and unit flags; and ``more`` of the rows."""
     from ..functions.uom import normalize_uom
     from ..operators.extract import expected_dimension
 
@@ -79,7 +79,7 @@ def light_norm(x: Domain):
         half_up(F.col("pk") % 100 / 100.0, 2).alias("completeness"),
         F.when(F.col("lean") == 1, F.array(F.lit("pressure_class"))).otherwise(F.array().cast("array<string>")).alias(
             "missing_required"),
-        F.sequence(F.lit(1), F.lit(1) + (F.col("pk") % 3).cast("int")).alias("expansions"))
+        F.sequence(F.lit(1), F.lit(1) + (F.col("pk") % 3).cast("int")).alias("expansions"), *more)
 
 
 @query("q1_kpi_totals", oracle(f"""SELECT (SELECT count(*) FROM raw) AS records, (SELECT count(DISTINCT org) FROM raw) AS orgs,

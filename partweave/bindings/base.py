@@ -173,14 +173,15 @@ CANONICAL = """
 SELECT concat('IN-MAT-', pk) AS cnmc, concat('NMC-', pk) AS short_code, concat('MATERIAL ', pk) AS description,
   min(family) AS category, CASE WHEN pk % 20 = 0 THEN 'RETIRED' ELSE 'APPROVED' END AS status, pk
 FROM {raw} c WHERE pk % 6 <> 5 GROUP BY pk"""
-TASKS = """
+TASK_STATUS = """CASE WHEN status IN ('APPROVED', 'REJECTED') THEN 'DONE' WHEN status = 'NEEDS_INFO' THEN 'NEEDS_INFO' ELSE 'OPEN' END"""
+TASKS = f"""
 SELECT pair_key,
   CASE routing WHEN 'AUTO_QUEUE' THEN 'FAST_TRACK' WHEN 'REVIEW' THEN 'FULL_REVIEW' ELSE 'UNRESOLVED' END AS queue,
   CASE match_type WHEN 'FUNCTIONALLY_EQUIVALENT' THEN 1 WHEN 'NEAR_DUPLICATE' THEN 2 WHEN 'INSUFFICIENT_DATA' THEN 4
     ELSE 3 END AS priority,
-  CASE WHEN status IN ('APPROVED', 'REJECTED') THEN 'DONE' WHEN status = 'NEEDS_INFO' THEN 'NEEDS_INFO' ELSE 'OPEN' END
+  {TASK_STATUS}
     AS status
-FROM {recs} t WHERE routing <> 'NONE'"""
+FROM {{recs}} t WHERE routing <> 'NONE'"""
 
 # what DuckDB sees in front of every oracle query
 WITH = ("WITH RECURSIVE raw AS (" + raw_view(True) + "),\nrecs AS (" + recs_view("raw") + "),\nmappings AS ("

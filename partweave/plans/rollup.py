@@ -1,12 +1,14 @@
 """Dashboard measures kept as sums that batches add to (Q1-Q8), instead of a scan of every table for every question.
 
 The state is one row a cell: (measure, key, member, value).  A batch gives the rows it changed as they were and as they
-are; each row adds its cells, the old form with the sign turned.  So appends, updates and reversals are all sums.  Exact
+are (``sign`` 1 and -1); each row adds its cells, the old form with the sign turned.  So appends, updates and reversals are all sums.  Exact
 distinct counts, minima and maxima are kept as members with the number of rows that hold them: a member whose number
 falls to nought leaves the set.
 
-Cells are partially aggregated on the map side and lie in hash buckets (``sources.buckets``); a batch rewrites the buckets
-of its cells and the switch to the new state is atomic.  The names of the batches are kept with the state, so one that is
+Cells are partially aggregated on the map side and lie in hash buckets (``sources.buckets``): those of codes by the code,
+matched records by the record, the few others apart, so a batch of pairs leaves the codes' buckets alone.  A batch writes its
+cells once, moves them and those of the buckets they touch by bucket in one shuffle, and rewrites these buckets; the switch
+to the new state is atomic.  The names of the batches are kept with the state, so one that is
 added again changes nothing.
 
 Rows of a batch, each with one row per key:
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import half_up
 from ..masters import POSITIVE
+from ..session import cut_lineage
 from ..sources.buckets import BucketedTable
 from .dashboard import MATCH_TYPE_ORDER, has_uom_issue
 
@@ -35,74 +38,108 @@ def _cell(measure: str, key=None, member=None, value=None, when: Column | None =
                     (value if when is None else F.when(when, value)).alias("value"))
 
 
-def record_cells() -> Column:
-    mapped, org, family, code = F.col("cnmc").isNotNull(), F.col("org"), F.col("category"), F.col("cnmc")
-    issue = F.coalesce(has_uom_issue(F.col("flags")), F.lit(False))
+def _alike(rows: DataFrame, cells: list[Column], more: Column | None = None, **columns: Column) -> DataFrame:
+    """Cells of few keys: rows that are alike in ``columns`` are counted first, and one of them gives the cells of all."""
+    n = F.sum("sign").cast(VALUE)
+    alike = rows.groupBy(*[c.alias(name) for name, c in columns.items()]).agg(n.alias("n"))
+    array = F.array(*cells) if more is None else F.concat(F.array(*cells), more)
+    found = alike.select("n", F.explode(array).alias("c")).select("n", "c.*").filter("value is not null")
+    return found.groupBy("measure", "key", "member").agg(F.sum((F.col("value") * F.col("n")).cast(VALUE)).cast(VALUE).alias("value"))
+
+
+def _each(rows: DataFrame, key: Column, member: Column | None = None, **measures: Column) -> DataFrame:
+    """Cells of many keys: one group a key and member gives the sums of all ``measures``, without a row for each of them."""
+    names = ["key"] if member is None else ["key", "member"]
+    sums = rows.groupBy(key.cast("string").alias("key"), *([] if member is None else [member.cast("string").alias("member")])).agg(
+        *[F.sum((v * F.col("sign")).cast(VALUE)).cast(VALUE).alias(m) for m, v in measures.items()])
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])
+    return sums.select(*names, F.explode(cells).alias("c")).select(
+        "c.measure", "key", (F.lit(None).cast("string") if member is None else F.col("member")).alias("member"), "c.value").filter(
+        "value is not null")
+
+
+def record_cells(rows: DataFrame) -> list[DataFrame]:
+    org, family, mapped, issue, complete = (F.col(c) for c in ("org", "category", "mapped", "issue", "completeness"))
     known = family.isNotNull()
     classified = family != "UNCLASSIFIED"
     cells = [
         _cell("records"), _cell("org_records", org), _cell("org", member=org, when=org.isNotNull()), _cell("normalized", when=known),
         _cell("family_records", family, when=known), _cell("mapped", when=mapped), _cell("family_mapped", family, when=mapped),
-        _cell("org_mapped", org, when=mapped), _cell("insufficient", when=F.size("missing_required") > 0),
+        _cell("org_mapped", org, when=mapped), _cell("insufficient", when=F.col("insufficient")),
         _cell("unclassified", when=family == "UNCLASSIFIED"), _cell("classified", when=~family.isin("UNCLASSIFIED", "PENDING")),
-        _cell("uom_issues", when=issue), _cell("org_uom_issues", org, when=issue), _cell("abbreviations", value=F.size("expansions")),
-        _cell("completeness", value=F.col("completeness"), when=classified),
-        _cell("completeness_rows", when=classified & F.col("completeness").isNotNull()),
-        _cell("org_completeness", org, value=F.col("completeness")),
-        _cell("org_completeness_rows", org, when=F.col("completeness").isNotNull()),
-        _cell("codes", code, when=mapped), _cell("qty", code, value=F.col("qty"), when=mapped),
-        _cell("spend", code, value=F.col("price") * F.col("qty"), when=mapped), _cell("code_org", code, org, when=mapped & org.isNotNull()),
-        _cell("code_price", code, F.col("price"), when=mapped & F.col("price").isNotNull())]
+        _cell("uom_issues", when=issue), _cell("org_uom_issues", org, when=issue), _cell("abbreviations", value=F.col("expansions")),
+        _cell("completeness", value=complete, when=classified), _cell("completeness_rows", when=classified & complete.isNotNull()),
+        _cell("org_completeness", org, value=complete), _cell("org_completeness_rows", org, when=complete.isNotNull())]
     flags = F.transform(F.coalesce("flags", F.array().cast("array<string>")), lambda f: _cell(
         "flag", F.split_part(f, F.lit(":"), F.lit(1))))
-    return F.concat(F.array(*cells), flags)
-
-
-def pair_cells() -> Column:
-    family, status, day = F.col("category"), F.col("status"), F.to_date("decided_at")
-    positive, seen = F.col("match_type").isin(POSITIVE), F.col("match_type") != "NOT_MATCHED"
+    few = _alike(rows, cells, flags, org=org, category=family, completeness=complete, flags=F.col("flags"),
+                 mapped=F.col("cnmc").isNotNull(), insufficient=F.size("missing_required") > 0, expansions=F.size("expansions"),
+                 issue=F.coalesce(has_uom_issue(F.col("flags")), F.lit(False)))
+    coded, code, one = rows.filter("cnmc is not null"), F.col("cnmc"), F.lit(1)
+    value = lambda c: c.cast(VALUE)
+    return [few, _each(coded, code, codes=one, qty=value(F.col("qty")), spend=value(F.col("price") * F.col("qty"))),
+            _each(coded.filter("org is not null"), code, F.col("org"), code_org=one),
+            _each(coded.filter("price is not null"), code, F.col("price"), code_price=one)]
+
+
+def pair_cells(rows: DataFrame) -> list[DataFrame]:
+    family, status, day = F.col("category"), F.col("status"), F.col("day")
+    positive = F.col("match_type").isin(POSITIVE)
     cells = [
         _cell("match_type", F.col("match_type")), _cell("duplicates", when=positive), _cell("family_duplicates", family, when=positive),
         _cell("functional", when=F.col("match_type") == "FUNCTIONALLY_EQUIVALENT"), _cell("vetoes", when=F.col("vetoed")),
         _cell("approved", when=status == "APPROVED"), _cell("rejected", when=status == "REJECTED"),
         _cell("day_approved", day, when=(status == "APPROVED") & day.isNotNull()),
         _cell("day_rejected", day, when=(status == "REJECTED") & day.isNotNull()),
-        _cell("pending", when=F.col("waiting")), _cell("family_pending", family, when=F.col("waiting")),
-        _cell("matched", member=F.col("a_record_id"), when=seen), _cell("matched", member=F.col("b_record_id"), when=seen)]
+        _cell("pending", when=F.col("waiting")), _cell("family_pending", family, when=F.col("waiting"))]
     orgs = F.filter(F.array_distinct(F.array("a_org", "b_org")), lambda o: o.isNotNull())
-    return F.concat(F.array(*cells), F.transform(orgs, lambda o: _cell("org_pending", o, when=F.col("waiting"))))
+    few = _alike(rows, cells, F.transform(orgs, lambda o: _cell("org_pending", o, when=F.col("waiting"))), day=F.to_date("decided_at"), **{
+        c: F.col(c) for c in ("category", "status", "match_type", "vetoed", "waiting", "a_org", "b_org")})
+    ends = rows.filter(F.col("match_type") != "NOT_MATCHED").select("sign", F.explode(F.array("a_record_id", "b_record_id")).alias("member"))
+    return [few, _each(ends, F.lit(None), F.col("member"), matched=F.lit(1))]
 
 
-def canonical_cells() -> Column:
-    live = F.col("status") == "APPROVED"
-    return F.array(_cell("canonical", when=live), _cell("family_canonical", F.col("category"), when=live),
-                   _cell("code_family", F.col("cnmc"), F.col("category"), when=live))
+def canonical_cells(rows: DataFrame) -> list[DataFrame]:
+    live = rows.filter("status = 'APPROVED'")
+    return [_alike(live, [_cell("canonical"), _cell("family_canonical", F.col("category"))], category=F.col("category")),
+            _each(live, F.col("cnmc"), F.col("category"), code_family=F.lit(1))]
 
 
-CELLS = {"records": record_cells, "pairs": pair_cells, "canonical": canonical_cells, "events": lambda: F.array(_cell("audit_events"))}
+OF_CODES = ["codes", "qty", "spend", "code_org", "code_price", "code_family"]
+CELLS = {"records": record_cells, "pairs": pair_cells, "canonical": canonical_cells,
+         "events": lambda rows: [_alike(rows, [_cell("audit_events")], one=F.lit(1))]}
 
 
-def contributions(rows: dict[str, DataFrame], sign: int) -> list[DataFrame]:
-    return [df.select(F.explode(CELLS[name]()).alias("c")).select("c.*").filter("value is not null").withColumn(
-        "value", (F.col("value") * sign).cast(VALUE)) for name, df in rows.items()]
+def contributions(after: dict[str, DataFrame], before: dict[str, DataFrame]) -> list[DataFrame]:
+    """Cells of a batch, each once: no two of the parts have a measure in common."""
+    parts = []
+    for name, cells in CELLS.items():
+        rows = [df[name].withColumn("sign", F.lit(sign)) for df, sign in ((after, 1), (before, -1)) if name in df]
+        if rows:
+            parts += cells(reduce(lambda a, b: a.unionByName(b), rows))
+    return [p.select("measure", "key", "member", "value").filter("value <> 0") for p in parts]
 
 
 class Rollup:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark = spark
-        self.table = BucketedTable(spark, path, "cell", buckets)
+        measure, apart = F.col("measure"), max(1, buckets // 8)
+        dealt = lambda c, n, after: F.pmod(F.xxhash64(c), F.lit(n)) + after
+        self.place = F.when(measure.isin(OF_CODES), dealt("key", buckets, 0)).when(
+            measure == "matched", dealt("member", buckets, buckets)).otherwise(dealt("key", apart, 2 * buckets)).cast("int")
+        self.table = BucketedTable(spark, path, "key", place=self.place)
 
     def add(self, batch: str, after: dict[str, DataFrame], before: dict[str, DataFrame] | None = None) -> bool:
         """Add what a batch changed; False if the batch is in the state already."""
         meta = self.table.state()["meta"] or {"batches": []}
         if batch in meta["batches"]:
             return False
-        parts = contributions(after, 1) + contributions(before or {}, -1)
-        total = lambda df: df.groupBy("cell", "measure", "key", "member").agg(F.sum("value").cast(VALUE).alias("value")).filter("value <> 0")
-        text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-        cells = total(reduce(lambda a, b: a.unionByName(b), parts).withColumn(
-            "cell", F.concat_ws("\x1f", "measure", text("key"), text("member"))))
-        self.table.upsert(cells, merge=lambda old, new: total(old.unionByName(new)), meta={"batches": [*meta["batches"], batch]})
+        parts = contributions(after, before or {})
+        total = lambda df, *by: df.groupBy(*by, "measure", "key", "member").agg(F.sum("value").cast(VALUE).alias("value")).filter(
+            "value <> 0").drop(*by)
+        cells = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+        merged = lambda old, new: total(old.unionByName(new).withColumn("place", self.place).repartition("place"), "place")
+        self.table.upsert(cells, merge=merged, meta={"batches": [*meta["batches"], batch]}, dealt=True)
         return True
 
     # ------------------------------------------------------------------------------------------------------- reading

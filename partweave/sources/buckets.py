@@ -117,12 +117,12 @@ class BucketedTable:
 
     # ---------------------------------------------------------------------------------------------------- writing
     def upsert(self, incoming: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-               meta: dict | None = None) -> int:
+               meta: dict | None = None, dealt: bool = False) -> int:
         """Write the rows of ``incoming`` over those with the same key and return the new version.
 
         ``merge(old, incoming)`` decides what the touched buckets hold afterwards; by default incoming rows replace old
         ones.  It sees whole touched buckets and must keep rows in their buckets.  Only touched buckets are read.  A column that is
-        new is null in the rows before."""
+        new is null in the rows before.  With ``dealt`` the rows of ``merge`` lie by bucket already and are not shuffled again."""
         state = self.state()
         mark = next(n for n in ("bucket", *(f"bucket_{i}" for i in range(99))) if n not in incoming.columns)
         touched = sorted(r[0] for r in incoming.select(self.place.alias(mark)).distinct().collect())
@@ -135,11 +135,12 @@ class BucketedTable:
             rows = old.join(incoming.select(self.key), self.key, "left_anti").unionByName(incoming, allowMissingColumns=True)
         name = f"data/{uuid.uuid4().hex}"
         # Rows of a bucket come from one shuffle of the touched rows, so a bucket is one file a task.
-        rows.withColumn(mark, self.place).repartition(mark).write.partitionBy(mark).parquet(f"{self.folder.path}/{name}")
+        rows = rows.withColumn(mark, self.place)
+        (rows if dealt and old is not None and merge is not None else rows.repartition(mark)).write.partitionBy(mark).parquet(f"{self.folder.path}/{name}")
         written = [n.split("=")[1] for n in self.folder.names(name) if n.startswith(f"{mark}=")]
         buckets = {n: b for n, b in state["buckets"].items() if int(n) not in set(touched)}
         buckets |= {n: {"folder": f"{name}/{mark}={n}"} for n in written}
-        new = {"schema": json.loads(rows.schema.json()), "meta": meta if meta is not None else state["meta"], "buckets": buckets}
+        new = {"schema": json.loads(rows.drop(mark).schema.json()), "meta": meta if meta is not None else state["meta"], "buckets": buckets}
         if self.facts and written:
             found = self._rows(new, {int(n) for n in written}).groupBy(self.place.alias(mark)).agg(
                 *[c.alias(n) for n, c in self.facts.items()])

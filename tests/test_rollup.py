@@ -144,3 +144,22 @@ def test_fanout_writes_the_same_documents_in_one_job(spark, tmp_path):
     odata = org_documents(canonical, mappings, stamp, fmt="odata", orgs=["O1"])
     assert {r["org"] for r in odata.collect()} == {"O1"} and json.loads(odata.first()["document"])["d"]["ProductOldID"].startswith("L")
     assert org_documents(canonical.limit(0), mappings, stamp).count() == 0
+
+
+def test_pairs_leave_the_buckets_of_codes_alone_and_alike_records_are_counted_first(spark, tmp_path):
+    from partweave.plans.rollup import contributions
+
+    kept = Rollup(spark, f"{tmp_path}/rollup", buckets=4)
+    records = spark.range(60).selectExpr(
+        "cast(id as string) record_id", "'A' org", "'PUMP' category", "0.5D completeness", "array('UOM_MISSING') flags",
+        "cast(array() as array<string>) missing_required", "array(1, 2) expansions", "concat('C', id % 7) cnmc", "2.5D price", "2D qty")
+    cells = [p.count() for p in contributions({"records": records}, {})]
+    assert cells[1:] == [21, 7, 7] and cells[0] < 30  # three sums, one organisation and one price a code
+    assert [p.count() for p in contributions({"records": records}, {"records": records})] == [0, 0, 0, 0]
+    kept.add("records", {"records": records})
+    before = {n: b["folder"] for n, b in kept.table.state()["buckets"].items()}
+    pairs = spark.createDataFrame([("p1", "a", "b", "A", "B", "PUMP", "DUPLICATE", False, "PENDING", None, True)], PAIRS)
+    kept.add("pairs", {"pairs": pairs})
+    after = {n: b["folder"] for n, b in kept.table.state()["buckets"].items()}
+    assert all(after[n] == f for n, f in before.items() if int(n) < 4) and any(int(n) < 4 for n in before)
+    assert kept.table.read().filter("measure = 'code_org'").count() == 7
