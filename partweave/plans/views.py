@@ -153,11 +153,12 @@ def fuzzy_lookup(term: str, raw, norm, mappings, canonical, exact: DataFrame | N
 
 def lookup_codes(requests: DataFrame, raw, mappings, canonical) -> DataFrame:
     """X7 - batch form: requests(org, legacy_code) -> status, code and the other organisations' codes."""
-    active = mappings.filter("status = 'ACTIVE'").select("record_id", "cnmc", "match_type", "confidence")
-    found = requests.withColumn("org", F.upper("org")).join(
-        raw.select("org", "legacy_code", "record_id"), ["org", "legacy_code"], "left").join(
-        active, "record_id", "left").join(canonical.select(
-            "cnmc", "short_code", F.col("description").alias("canonical_description")), "cnmc", "left")
+    # Codes are joined before records and records before requests: a record without a code never meets a join on the code,
+    # where all of them would be one key.
+    active = mappings.filter("status = 'ACTIVE'").select("record_id", "cnmc", "match_type", "confidence").join(
+        canonical.select("cnmc", "short_code", F.col("description").alias("canonical_description")), "cnmc", "left")
+    known = raw.select("org", "legacy_code", "record_id").join(active, "record_id", "left")
+    found = requests.withColumn("org", F.upper("org")).join(known, ["org", "legacy_code"], "left")
     members = mappings.filter("status = 'ACTIVE'").select(
         F.col("cnmc").alias("_c"), F.col("org").alias("_o"), F.col("legacy_code").alias("_l"))
     wanted = members.join(found.select(F.col("cnmc").alias("_c")).distinct(), "_c", "left_semi")
