@@ -492,8 +492,16 @@ def k7(spark, d):
 
     req = table(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), F.concat(
         F.lit("GATE VALVE "), "n_nationkey", F.lit(" INCH")).alias("term"))
-    index = trigram_index(Domain(spark, d).raw, "record_id", "description")
-    return trigram_search(req, index, "record_id").select("request_id", "record_id", half_up(F.col("sim")).alias("sim"))
+    rows, texts = described(spark, d)
+    found = trigram_search(req, trigram_index(texts, "description", "description"), "description")
+    return rows.join(found, "description").select("request_id", "record_id", half_up(F.col("sim")).alias("sim"))
+
+
+def described(spark, d):
+    """(record_id, description) of every record, and the distinct descriptions, dealt over all tasks and written once: a
+    text is searched once, and its hits are joined to the records that hold it."""
+    rows = Domain(spark, d).raw.select("record_id", "description")
+    return rows, computed_once(rows, ["description"], lambda t: t)
 
 
 @query("x6_fuzzy_lookup", oracle(f"""SELECT record_id, floor(s * 1000 + 0.5) / 1000 AS sim FROM (SELECT record_id, org, legacy_code,

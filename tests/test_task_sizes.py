@@ -61,3 +61,28 @@ def test_code_lookup_deals_records_without_a_code_over_all_tasks(spark):
     assert got["CPCL", "L2"] == ("HARMONISED", "r2", "C3", None, [])
     large = [r for r in reads if sum(r) > n / 2]
     assert large and all(max(r) < 0.5 * sum(r) for r in large)
+
+
+def copied(spark, sf_dir, path, times):
+    """Parts and their line items ``times`` times over, with shifted keys; the texts of the records repeat."""
+    for name, key in (("part", "p_partkey"), ("lineitem", "l_partkey")):
+        t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        t.crossJoin(spark.range(times).select(F.col("id").alias("_copy"))).withColumn(key, F.col(key) + F.col("_copy") * 1_000_000).drop(
+            "_copy").write.parquet(f"{path}/{name}.parquet")
+    for name in ("supplier", "nation", "region"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["k7_trigram_search"])
+def test_search_shuffles_a_row_a_record_and_no_grams_of_copies(spark, sf_dir, tmp_path, name):
+    from partweave.bindings import registry
+    from partweave.bindings.base import Domain
+
+    query, large = registry()[0][name], copied(spark, sf_dir, tmp_path, 8)
+    n = Domain(spark, large).raw.count()
+    once = sorted((r["request_id"], r["sim"]) for r in query(spark, sf_dir).collect())
+    reads, rows = shuffle_reads(spark, lambda: query(spark, large).collect())
+    assert once and sorted((r["request_id"], r["sim"]) for r in rows) == sorted(once * 8)
+    assert len({(r["request_id"], r["record_id"]) for r in rows}) == len(rows)
+    assert sum(map(sum, reads)) < 12 * n, sum(map(sum, reads)) / n
