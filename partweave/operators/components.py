@@ -27,13 +27,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", vertices:
     e = edges.filter(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = cut_lineage(e)
-    state = None
+    marks = lambda e: tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 52)).cast("decimal(38,0)"))).first())
+    state = marks(e)  # links that are stars already settle in one round
     for _ in range(max_rounds):
         e = cut_lineage(_small_star(_large_star(e)))
-        seen = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 52)).cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
+        seen = marks(e)
+        if seen == state:
             break
-        state = tuple(seen)
+        state = seen
     else:
         raise RuntimeError("components did not settle")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

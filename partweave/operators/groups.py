@@ -9,37 +9,51 @@ A component is named by its smallest node, as ``connected_components`` over all
 link nothing, a record linked with itself is a group of its own, repeated links count once."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.buckets import BucketedTable
 from .components import connected_components
 
+HASHES = [F.xxhash64] + [lambda c, i=i: F.xxhash64(F.lit(i), c) for i in range(4)]
 
-def contracted(links: DataFrame, groups: DataFrame | None, a: str = "a", b: str = "b") -> DataFrame:
-    """Links between groups: each end replaced by the component it has; (a, b, a_node, b_node)."""
-    ends = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.col(a).alias("a_node"), F.col(b).alias("b_node")).distinct()
-    if groups is None:
-        return ends.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_node", "b_node")
-    side = lambda s: groups.select(F.col("node").alias(f"{s}_node"), F.col("component").alias(s))
-    return ends.join(side("a"), "a_node", "left").join(side("b"), "b_node", "left").select(
-        F.coalesce("a", "a_node").alias("a"), F.coalesce("b", "b_node").alias("b"), "a_node", "b_node")
-
-
-def renamed(links: DataFrame, groups: DataFrame | None, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
-    """(moves, entries) of a batch: moves (old component, new component) of groups that a merge renames, and entries
-    (node, component) of records seen for the first time."""
-    met = cut_lineage(contracted(links, groups, a, b))
-    found = cut_lineage(connected_components(met.select("a", "b")))
-    ends = met.select(F.col("a_node").alias("node"), F.col("a").alias("held")).union(met.select("b_node", "b")).distinct()
-    placed = ends.join(found.select(F.col("node").alias("held"), "component"), "held", "left").select(
-        "node", "held", F.coalesce("component", "held").alias("component"))
-    moves = found.filter("node <> component").select(F.col("node").alias("held"), F.col("component").alias("moved"))
+
+def numbered(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(held, known, code): the ends of links (a, b, link) by the component they have, or by themselves if they are in none
+    yet.  ``code`` is 2 * link for the end a and 2 * link + 1 for b."""
+    end = lambda s, i: F.struct(F.col(s).alias("node"), (F.col("link") * 2 + i).alias("code"))
+    ends = links.select(F.inline(F.array(end("a", 0), end("b", 1))))
     if groups is None:
-        return moves, placed.select("node", "component")
-    return moves, placed.join(groups.select("node"), "node", "left_anti").select("node", "component")
+        return ends.select(F.col("node").alias("held"), F.lit(False).alias("known"), "code")
+    return ends.join(groups.select("node", "component"), "node", "left").select(
+        F.coalesce("component", "node").alias("held"), F.col("component").isNotNull().alias("known"), "code")
+
+
+def placed(links: DataFrame, groups: DataFrame | None, hashes: Sequence[Callable[[str], Column]] = HASHES) -> DataFrame:
+    """(held, known, component), written: what a batch does to each group or new record (``held``) that its links meet.
+
+    The search runs on hashes of 8 bytes, so ids are not carried through its rounds.  Ids that share a hash are found where
+    ids and hashes meet; the search is then done again with the next hash."""
+    met = cut_lineage(numbered(links, groups))
+    for number in hashes:
+        out = cut_lineage(_named(met.withColumn("number", number("held"))))
+        if out.filter("shared").isEmpty():
+            return out.drop("shared")
+    raise RuntimeError("ids share all of their hashes")
+
+
+def _named(met: DataFrame) -> DataFrame:
+    edges = met.groupBy(F.shiftright("code", 1)).agg(F.min("number").alias("a"), F.max("number").alias("b"))
+    found = connected_components(edges).select(F.col("node").alias("number"), F.col("component").alias("root"))
+    ids = met.groupBy("number").agg(F.min("held").alias("held"), F.max("held").alias("last"), F.max("known").alias("known"))
+    rooted = ids.join(found, "number", "left").select(F.struct("held", "known", (F.col("held") != F.col("last")).alias("shared")).alias(
+        "id"), F.coalesce("root", "number").alias("root"))
+    # The smallest is taken of whole structs: both uses of ``rooted`` then read the same shuffles.
+    names = rooted.groupBy("root").agg(F.min("id").alias("first"))
+    return rooted.join(names, "root").select("id.*", F.col("first.held").alias("component"))
 
 
 class GroupTable:
@@ -66,27 +80,36 @@ class GroupTable:
         """Add a batch of links and return (node, component) of the records that entered or moved.
 
         ``labels`` is written last and names the groups; a batch that died before it can be added again."""
-        links = cut_lineage(links.select(F.col(a).alias("a"), F.col(b).alias("b")))
-        ends = links.select(F.col("a").alias("node")).union(links.select("b")).filter("node is not null").distinct()
-        groups = self._labels_of(ends)
-        moves, entries = renamed(links, groups)
-        moves, changed = cut_lineage(moves), entries
-        held = None
-        if groups is not None:
-            place = F.pmod(F.xxhash64("held"), F.lit(self.buckets)).alias("b")
-            touched = {int(r[0]) for r in moves.select(place).distinct().collect()}
-            old = self.members.read(only=touched)
-            if old is not None:
-                held = cut_lineage(old.join(moves.withColumnRenamed("held", "component"), "component").select(
-                    "node", "component", "moved"))
-                self.moved = held.count()
-                changed = entries.unionByName(held.select("node", F.col("moved").alias("component")))
-        changed = cut_lineage(changed)
-        # In ``members`` a moved record leaves its old bucket: it stays there as a row that ``labels`` overrules.
-        leaving = held.select("node", "component", F.lit(True).alias("gone")) if held is not None else None
-        arriving = changed.withColumn("gone", F.lit(False))
-        rows = arriving if leaving is None else arriving.unionByName(leaving.select("node", "component", "gone"))
-        self.members.upsert(rows, merge=lambda old, new: old.join(
-            new.select("node", "component"), ["node", "component"], "left_anti").unionByName(new).filter("not gone"))
-        self.labels.upsert(changed)
+        links = cut_lineage(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").withColumn(
+            "link", F.monotonically_increasing_id()))
+        ends = links.select(F.col("a").alias("node")).union(links.select("b"))
+        met = placed(links, self._labels_of(ends))
+        changed = met.filter(~F.col("known")).select(F.col("held").alias("node"), "component")
+        moves = met.filter(F.col("known") & (F.col("held") != F.col("component"))).select("held", F.col("component").alias("moved"))
+        rows = changed.withColumn("gone", F.lit(False))
+        place = F.pmod(F.xxhash64("held"), F.lit(self.buckets)).alias("b")
+        touched = {int(r[0]) for r in moves.select(place).distinct().collect()}
+        self.moved = 0
+        old = self.members.read(only=touched) if touched else None
+        if old is not None:
+            held = cut_lineage(old.select("node", "component").join(moves.withColumnRenamed("held", "component"), "component").select(
+                "node", "component", "moved"))
+            self.moved = held.count()
+            arriving = held.select("node", F.col("moved").alias("component"))
+            changed = changed.unionByName(arriving)
+            # In ``members`` a moved record leaves its old bucket: the row that says so meets the old one there.
+            rows = rows.unionByName(arriving.withColumn("gone", F.lit(False))).unionByName(
+                held.select("node", "component", F.lit(True).alias("gone")))
+        self.members.upsert(rows, merge=self._without_gone, dealt=True)
+        self.labels.upsert(changed, merge=self._latest, dealt=True)
         return changed
+
+    # Old and new rows of a bucket meet in the shuffle that the writer needs anyway.
+    def _without_gone(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new).withColumn("_place", self.members.place).repartition("_place")
+        return both.groupBy("_place", "node", "component").agg(F.max("gone").alias("gone")).filter("not gone").drop("_place")
+
+    def _latest(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+        both = both.withColumn("_place", self.labels.place).repartition("_place")
+        return both.groupBy("_place", "node").agg(F.max_by("component", "_new").alias("component")).drop("_place")

@@ -4,6 +4,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from partweave.operators.groups import GroupTable, placed
 from partweave.plans.views import lookup_codes
 
 
@@ -22,8 +23,8 @@ def settings(spark, **values):
 PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 
 
-def shuffle_reads(spark, run):
-    """Records that each task of each stage of ``run`` read from shuffles: a list of lists, and the value of ``run``."""
+def shuffle_reads(spark, run, what="recordsRead"):
+    """Records (or bytes) that each task of each stage of ``run`` read from shuffles: a list of lists, and the value of ``run``."""
     store = spark.sparkContext._jsc.sc().statusStore()
     spark.range(1).collect()
     stages = lambda: {s.stageId(): s for s in _seq(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(
@@ -34,7 +35,7 @@ def shuffle_reads(spark, run):
     for number, s in stages().items():
         if number not in known and s.status().toString() == "COMPLETE":
             tasks = _seq(store.taskList(number, s.attemptId(), 10_000))
-            out.append([t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks])
+            out.append([getattr(t.taskMetrics().get().shuffleReadMetrics(), what)() for t in tasks])
     return out, value
 
 
@@ -86,3 +87,23 @@ def test_search_shuffles_a_row_a_record_and_no_grams_of_copies(spark, sf_dir, tm
     assert once and sorted((r["request_id"], r["sim"]) for r in rows) == sorted(once * 8)
     assert len({(r["request_id"], r["record_id"]) for r in rows}) == len(rows)
     assert sum(map(sum, reads)) < 12 * n, sum(map(sum, reads)) / n
+
+
+def test_a_batch_of_groups_shuffles_few_times_the_bytes_of_its_ids(spark, tmp_path):
+    long_id = lambda i: F.concat_ws("", *[F.sha2(F.concat(F.lit(f"{k}-"), i), 256) for k in range(4)])  # 256 characters
+    links = spark.range(2000).select(long_id((F.col("id") * 2).cast("string")).alias("a"), long_id((F.col("id") * 2 + 1).cast("string")).alias("b"))
+    groups = GroupTable(spark, f"{tmp_path}/groups", buckets=4)
+    with settings(spark, **PLAIN):
+        reads, _ = shuffle_reads(spark, lambda: groups.add(links), "localBytesRead")
+    assert groups.read().count() == 4000
+    assert sum(map(sum, reads)) < 10 * 4000 * 256, sum(map(sum, reads)) / (4000 * 256)
+
+
+def test_ids_that_share_a_hash_do_not_share_a_group(spark):
+    links = spark.createDataFrame([("a", "b", 0), ("b", "c", 1), ("d", "e", 2), ("f", "f", 3)], "a string, b string, link bigint")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    few = lambda c: F.pmod(F.xxhash64(c), F.lit(3))
+    right = [(n, False, g) for n, g in zip("abcdef", "aaaddf")]
+    assert rows(placed(links, None)) == right and rows(placed(links, None, [few, F.xxhash64])) == right
+    with pytest.raises(RuntimeError):
+        placed(links, None, [few])
