@@ -71,8 +71,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     rows, shingles = np.concatenate(rows), np.concatenate(shingles)
-    order = np.lexsort((shingles, rows))
+    order = np.argsort(rows, kind="stable")  # short texts come after the others: two sorted runs
     rows, shingles = rows[order], shingles[order]
+    edges = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        shingles[begin:end].sort()
     new = np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(shingles) != 0)])
     return rows[new], shingles[new]
 
@@ -348,4 +351,4 @@ def near_duplicates(docs: DataFrame, k=5, percent=80, miss=1e-6, doc_id="doc_id"
 def one_per_group(docs: DataFrame, doc_id="doc_id", **options) -> DataFrame:
     """``docs`` with the document of least id of each group."""
     kept = near_duplicates(docs, doc_id=doc_id, **options).filter("kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(kept, doc_id, "left_semi")
+    return docs.join(kept.hint("shuffle_hash"), doc_id, "left_semi")

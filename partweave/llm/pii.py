@@ -314,7 +314,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 def mask_pii(docs: DataFrame, doc_id="doc_id", text="text", **options) -> DataFrame:
     """``docs`` with personal data masked; texts without any stay as they are."""
     changed = pii_spans(docs, doc_id, text, masked="masked", **options).filter("masked is not null").select(
-        "doc_id", "masked")
+        "doc_id", "masked").hint("shuffle_hash")
     return unboxed(boxed(docs).join(changed, cell(doc_id) == F.col("doc_id"), "left"), docs.columns, **{
         text: F.coalesce("masked", cell(text))})
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,15 +149,18 @@ def opened_blocks(runs: DataFrame, texts: DataFrame, width: int, q: int) -> Data
                             np.concatenate([first, [len(p)]]).astype(np.int32), strings.view(np.int64))], names=names)
 
     names = ["anchor", "block", "core", "doc_id", "single", "start", "strings"]
-    return texts.join(per_doc, "doc_id").select("doc_id", "packed", "runs").mapInArrow(
+    return texts.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "packed", "runs").mapInArrow(
         run, "anchor long, block int, core long, doc_id long, single boolean, start int, strings array<long>")
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, width=200, q=100) -> DataFrame:
     """(doc_id, start, end): byte ranges whose every ``width``-byte string repeats; ranges may overlap."""
-    anchors = open_buckets(text_runs(docs, width, q), "anchor").select("anchor")
-    # 1: runs outside singleton buckets; written, since three steps read them.
-    left = materialise(text_runs(docs, width, q).join(anchors.hint("shuffle_hash"), "anchor", "left_semi"))
+    # 1: runs outside singleton buckets; written, since three steps read them.  All runs are read twice, to count the
+    #    buckets and to be joined with them, so they stay on disk that long.
+    runs = text_runs(docs, width, q).persist(StorageLevel.DISK_ONLY)
+    anchors = open_buckets(runs, "anchor").select("anchor")
+    left = materialise(runs.join(anchors.hint("shuffle_hash"), "anchor", "left_semi"))
+    runs.unpersist()
     # 2: by the whole extent.
     kinds = left.groupBy("anchor", "extent").agg(
         F.count(F.lit(1)).alias("entries"), F.min(F.struct("doc_id", "start", "shape")).alias("one"))
@@ -193,8 +197,8 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def dedup_substrings(docs: DataFrame, width=200, doc_id="doc_id", text="text", with_kept=False) -> DataFrame:
-    """One row per document: n_bytes, n_removed, n_spans, kept_sha256 and the removed spans; ``with_kept`` adds the
-    remaining bytes."""
+    """One row per document: n_bytes, n_removed, n_spans, kept_sha256 and the removed spans; ``with_kept`` gives
+    only the documents that lose bytes, with those that remain."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = packed_texts(docs)
     spans = repeated_spans(docs, texts, width, width // 2).groupBy("doc_id").agg(
@@ -218,15 +222,15 @@ def dedup_substrings(docs: DataFrame, width=200, doc_id="doc_id", text="text", w
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(),
              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *([pa.binary()] if with_kept else [])]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if with_kept else [])]
-    return texts.join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(
+    found = texts.join(spans.hint("shuffle_hash"), "doc_id", "inner" if with_kept else "left")
+    return found.select("doc_id", "packed", "spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
              "spans array<struct<start:long,end:long>>" + (", kept binary" if with_kept else ""))
 
 
 def without_repeats(docs: DataFrame, width=200, doc_id="doc_id", text="text") -> DataFrame:
     """``docs`` with the repeats cut out of the text; bytes of a character that a cut has split go with the cut."""
-    kept = dedup_substrings(docs, width, doc_id, text, with_kept=True).filter("n_removed > 0").select(
-        "doc_id", "kept")
+    kept = dedup_substrings(docs, width, doc_id, text, with_kept=True).select("doc_id", "kept").hint("shuffle_hash")
     whole = F.expr("try_validate_utf8(cast(kept as string))")
     cut = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "\\uFFFD", "")
     return unboxed(boxed(docs).join(kept, cell(doc_id) == F.col("doc_id"), "left"), docs.columns, **{
